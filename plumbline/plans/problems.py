@@ -11,6 +11,7 @@ from plumbline.functions.values import NO_VALUE_CODES, NO_VALUE_WORDS
 from plumbline.operators.grid import regular_grid
 from plumbline.operators.keyed import heavy_keys, key_totals
 from plumbline.operators.rolling import rolling_totals
+from plumbline.operators.spikes import implausible
 from plumbline.sources.rejects import DATE, FIELD, NUMBER, SOUND_QUOTES, accepted, rejected
 from plumbline.sources.tables import table
 
@@ -63,6 +64,14 @@ def p5_readings(spark: SparkSession, d: str) -> DataFrame:
     return accepted(table(spark, d, "utd19_raw"))
 
 
+def p6_flags(spark: SparkSession, d: str) -> DataFrame:
+    return implausible(table(spark, d, "utd19_u"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_flags(spark, d).select("obs_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys(table(spark, d, "utd19_u"))
 
@@ -71,7 +80,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     return settle_all(key_totals(table(spark, d, "utd19_u")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_rolling, p5_found, p5_readings, p7_found, p7_totals)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_rolling, p5_found, p5_readings, p6_found, p6_flags, p7_found, p7_totals)}
 
 # --- the same as SQL ---
 
