@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import NO_VALUE_CODES, NO_VALUE_WORDS
 from plumbline.operators.grid import regular_grid
+from plumbline.operators.impute import filled, unusable
 from plumbline.operators.keyed import heavy_keys, key_totals
 from plumbline.operators.rolling import rolling_totals
 from plumbline.operators.spikes import implausible
@@ -32,6 +33,14 @@ def settle_all(t: DataFrame) -> DataFrame:
     return t.select(*(settled(F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in t.dtypes))
 
 
+def p1_filled(spark: SparkSession, d: str) -> DataFrame:
+    return filled(table(spark, d, "utd19_u"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return unusable(p1_filled(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_grid_raw(spark, d).where("n_readings = 0").select("city", "detid", "day_key", "slot")
 
@@ -80,7 +89,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     return settle_all(key_totals(table(spark, d, "utd19_u")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_rolling, p5_found, p5_readings, p6_found, p6_flags, p7_found, p7_totals)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_filled, p3_found, p3_grid, p4_found, p4_rolling, p5_found, p5_readings, p6_found, p6_flags, p7_found, p7_totals)}
 
 # --- the same as SQL ---
 
@@ -147,6 +156,7 @@ r as (select line_id, case when not quotes then 'quoting' when n <> 8 then 'colu
     when not (regexp_full_match(f[1], '{DATE}') and try_cast(f[1] as date) is not null and {_num('f[2]', '0')} and (f[4] = '' or {_num('f[4]', "'-infinity'::double")}) and (f[5] = '' or {_num('f[5]', "'-infinity'::double")})) then 'values' end as reason from c)"""
 
 SQL: dict[str, str] = {
+    "p1_found": f"select obs_id, 'flow' as field from utd19_u where not {_ok('flow')} union all select obs_id, 'occ' from utd19_u where not {_ok('occ')} union all select obs_id, 'detid' from utd19_u where not {_WORD}",
     "p3_found": f"with {_READ}, {_GRID} select city, detid, {_KEY(_DATE('(pos // n_slots)'))} as day_key, (pos % n_slots)::int as slot from held where n is null",
     "p3_grid": f"""with {_READ}, {_GRID} select city, detid, {_KEY(_DATE('(pos // n_slots)'))} as day_key, (pos % n_slots)::int as slot, coalesce(n, 0)::bigint as n_readings,
   {_round('case when v is not null then v when pos - last_pos <= 3 then last_v end')} as flow,
