@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.values import has_word, number_or_null
 from plumbline.llm.mixing import mixture
 from plumbline.llm.quantiles import merge, quantiles, sketch
+from plumbline.llm.sentences import sentences
 from plumbline.llm.tokens import token_ids
 from plumbline.sources.tables import table
 
@@ -54,5 +55,13 @@ def p9_shares_full(spark: SparkSession, d: str) -> DataFrame:
     return mixture(docs, table(spark, d, "mix_targets"), total="corpus")[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_sketches, p8_ids, p9_mixture, p9_shares, p9_shares_full)}
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"), table(spark, d, "doc_cells"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_sentences(spark, d).select("doc_id", "sent_start", "sent_end")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_sketches, p8_ids, p9_mixture, p9_shares, p9_shares_full, p10_found, p10_sentences)}
 SQL: dict[str, str] = {}
