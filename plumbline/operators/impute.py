@@ -129,7 +129,7 @@ def _unpack(batch: pa.RecordBatch, a0: float, b0: float) -> Iterator[tuple[int,
         stop = start + 1
         while stop < batch.num_rows and ends[stop + 1] - ends[start] <= CELLS_AT_ONCE:
             stop += 1
-        lo, hi = ends[start] - col.offset * 0, ends[stop]
+        lo, hi = ends[start], ends[stop]
         own = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
         a, b = (np.where(np.isnan(x[start:stop]), x0, x[start:stop]) for x, x0 in zip(means, (a0, b0)))
         c = {k: v[lo:hi] for k, v in f.items()}
@@ -284,9 +284,9 @@ def filled(raw: DataFrame, classes: int = 12, steps: int = 8) -> DataFrame:
     quarter = F.floor(F.col("hour") / 6).cast("int")
     asked = nameless.where("city is not null").select("city", F.col("__hour").alias("hour"), F.col("__fb").alias("fb"), F.col("__ob").alias("ob")).distinct().withColumn("quarter", quarter)
     copies = detectors.withColumn("quarter", F.explode(F.array(*(F.lit(q) for q in (-1, 0, 1, 2, 3)))))
-    guesses = asked.groupBy("city", "quarter").cogroup(copies.groupBy("city", "quarter")).applyInPandas(_modes(m), "city string, hour int, fb int, ob int, guess string")
+    guesses = asked.groupBy("city", "quarter").cogroup(copies.groupBy("city", "quarter")).applyInPandas(_modes(m), "city string, hour int, fb int, ob int, guess string").withColumnRenamed("guess", "__guess")
     same = [F.col("q.city") == F.col("p.city"), F.col("q.hour") == F.col("p.__hour"), F.col("q.fb").eqNullSafe(F.col("p.__fb")), F.col("q.ob").eqNullSafe(F.col("p.__ob"))]
-    named = nameless.alias("p").join(guesses.alias("q"), same, "left").select("p.*", "q.guess").withColumn("detid", F.col("guess")).drop("guess", "__fb", "__ob")
+    named = nameless.alias("p").join(guesses.alias("q"), same, "left").select("p.*", "q.__guess").withColumn("detid", F.col("__guess")).drop("__guess", "__fb", "__ob")
     ready = part.where("not detid_filled").unionByName(named)
 
     known = detectors.select(F.col("city").alias("__city"), F.col("detid").alias("__detid"), F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("w").alias("__w"))
