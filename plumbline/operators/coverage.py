@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.simplex import gram, matrix, mixture_weights, wide
 
 METRICS = ("mean_abs", "rmse", "max")
+FEW, PART_BYTES = 32, 8 << 20
 CERTIFICATE = "model_idx int, model_name string, kept array<int>, weights array<double>, uniqueness double"
 
 
@@ -70,26 +72,60 @@ class Coverage:
         self.spark = responses.sparkSession
         self.gram = gram(wide(responses, "fit"), self.n)
         self.eval = wide(responses, "eval").select("ys").persist()
+        rows = self.eval.count()
+        self.parts = self.eval.rdd.getNumPartitions()
+        enough = 1 + rows * self.n * 8 // PART_BYTES
+        if enough < self.parts:  # every task costs more than a few rows do
+            spread, self.eval, self.parts = self.eval, self.eval.coalesce(enough).persist(), enough
+            self.eval.count()
+            spread.unpersist()
         self._u: dict[frozenset[int], np.ndarray] = {}
         self._w: dict[frozenset[int], np.ndarray] = {}
+        self._kin: dict[frozenset[int], tuple[frozenset[int], np.ndarray]] = {}
 
     def close(self) -> None:
         self.eval.unpersist()
 
+    def _relative(self, kept: frozenset[int]) -> frozenset[int] | None:
+        """A set with known weights that has one model more or less."""
+        near = itertools.chain((kept - {j} for j in kept if len(kept) > 1), (kept | {j} for j in range(self.n) if j not in kept))
+        return next((s for s in near if s in self._w), None)
+
     def weights(self, kept: frozenset[int]) -> np.ndarray:
-        """n x n: row i holds the weights that stand for model i, zero outside kept."""
-        if kept not in self._w:
-            w = np.zeros((self.n, self.n))
-            order = sorted(kept)
-            near = next((self._w[s] for s in (kept - {j} for j in order) if s in self._w and s), None)
-            for i in range(self.n):
-                if i in kept:
-                    w[i, i] = 1.0
-                elif order:
-                    start = near[i, order] if near is not None and near[i, order].sum() > 0.5 else None
-                    w[i, order] = mixture_weights(self.gram, i, order, start)
-            self._w[kept] = w
-        return self._w[kept]
+        """n x n: row i holds the weights that stand for model i, zero outside kept.
+
+        Next to a set that differs by one model, most targets need no solving: a dropped model of weight zero changes nothing, nor
+        does an added one to which the gradient doesn't point. The others start from the weights known there.
+        """
+        if kept in self._w:
+            return self._w[kept]
+        w, order = np.zeros((self.n, self.n)), np.array(sorted(kept), int)
+        near = self._relative(kept)
+        same = np.zeros(self.n, bool)
+        for i in range(self.n):
+            if i in kept:
+                w[i, i] = 1.0
+                continue
+            if not order.size:
+                continue
+            start = None
+            if near is not None and i not in near:
+                old = self._w[near][i]
+                g = self.gram
+                if near > kept:
+                    same[i] = old[order].sum() > 1 - 1e-15
+                else:
+                    j = next(iter(kept - near))
+                    # Gradient of the squared residual at the old weights, seen along each kept model's direction.
+                    slope = g[order] @ old - g[order, i]
+                    now = old @ g @ old - old @ g[:, i]
+                    same[i] = slope[order == j][0] >= now - 1e-13 * abs(g[i, i])
+                start = old[order] if old[order].sum() > 0.5 else None
+            w[i, order] = self._w[near][i, order] if same[i] else mixture_weights(self.gram, i, order.tolist(), start)
+        self._w[kept] = w
+        if near is not None and same.any():
+            self._kin[kept] = (near, same)
+        return w
 
     def batch(self, sets: Iterable[Iterable[int]]) -> None:
         """Scores all sets not known yet, in one job."""
@@ -102,8 +138,20 @@ class Coverage:
         new = [s for s in new if s not in self._u]
         if not new:
             return
-        # Only models outside the set have a residual. Column c of the residuals is ys @ mix[:, c].
-        asked = [(s, i) for s in new for i in range(self.n) if i not in s]
+        for s in new:
+            self.weights(s)
+            self._u[s] = np.zeros(self.n)
+        # Only models outside the set have a residual, and where the weights are those of a scored set, it is known. Column c of the residuals is ys @ mix[:, c].
+        asked, pending = [], set(new)
+        for s in new:
+            near, same = self._kin.get(s, (None, None))
+            for i in range(self.n):
+                if i not in s and near is not None and near not in pending and near in self._u and same[i]:
+                    self._u[s][i] = self._u[near][i]
+                elif i not in s:
+                    asked.append((s, i))
+        if not asked:
+            return
         mix = np.stack([self.weights(s)[i] - np.eye(self.n)[i] for s, i in asked], 1)
         n = self.n
 
@@ -120,12 +168,15 @@ class Coverage:
                     most = np.maximum(most, r.max(0))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(np.full(m, count)), pa.array(sums), pa.array(squares), pa.array(most)], names=["c", "n", "s", "q", "m"])
 
-        got = self.eval.mapInArrow(run, "c long, n long, s double, q double, m double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("m").alias("m")).collect()
-        for s in new:
-            self._u[s] = np.zeros(self.n)
-        for r in got:
-            s, i = asked[r.c]
-            self._u[s][i] = {"mean_abs": r.s / r.n, "rmse": (r.q / r.n) ** 0.5, "max": r.m}[self.metric]
+        got = self.eval.mapInArrow(run, "c long, n long, s double, q double, m double")
+        if self.parts > FEW:  # many tasks' numbers are added up by Spark, those of a few here
+            got = got.groupBy("c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("m").alias("m"))
+        pdf = got.toPandas()
+        added = pdf.groupby("c").agg({"n": "sum", "s": "sum", "q": "sum", "m": "max"}).sort_index()
+        value = {"mean_abs": added.s / added.n, "rmse": np.sqrt(added.q / added.n), "max": added.m}[self.metric]
+        for c, v in value.items():
+            s, i = asked[c]
+            self._u[s][i] = v
 
     def uniqueness(self, kept: Iterable[int]) -> np.ndarray:
         s = frozenset(kept)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,32 +16,48 @@ from pyspark.sql import functions as F
 def linear_models(rows: DataFrame, names: list[str], group: str = "city", target: str = "y", ridge: float = 1e-6) -> DataFrame:
     """(group, n, weights array, intercept, train_rmse): least squares per group, from sums of products only.
 
-    One aggregation with map-side combining; a task solves the normal equations of a group from its p * (p + 3) / 2 sums, so a group's rows never come together.
+    Each task returns (p + 2) ** 2 sums a group, which Spark adds up; the normal equations are solved from those, so a group's rows never come together. Features and target must not be null.
     """
     p = len(names)
-    x = [F.col(c).cast("double") for c in names]
-    y = F.col(target).cast("double")
-    mean = rows.groupBy(group).agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), F.avg(y).alias("my")).withColumnRenamed(group, "__g")
-    met = rows.join(mean, F.col(group).eqNullSafe(F.col("__g")))  # centred first: sums of squares of large means lose digits
-    z = [c - F.col(f"m{i}") for i, c in enumerate(x)]
-    dy = y - F.col("my")
-    sums = [F.sum(z[i] * z[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)] + [F.sum(z[i] * dy).alias(f"t{i}") for i in range(p)]
-    stats = met.groupBy(group).agg(F.count("*").alias("n"), F.sum(dy * dy).alias("yy"), F.first("my").alias("my"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), *sums)
-    kind = dict(rows.dtypes)[group]
+    held = rows.select(group, *(F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate((*names, target))))
+    cols = [f"z{i}" for i in range(p + 1)]
+    scale = held.agg(*(f(c) for c in cols for f in (F.avg, F.stddev_pop))).first()
+    # Centred and scaled by the whole table's means first: sums of squares of large means lose digits.
+    mean, width = np.array([scale[2 * i] or 0.0 for i in range(p + 1)]), np.array([scale[2 * i + 1] or 1.0 for i in range(p + 1)])
+    kind, m = dict(rows.dtypes)[group], p + 2
+
+    def sums(batches):
+        total: dict[object, np.ndarray] = {}
+        for b in batches:
+            key = pc.dictionary_encode(b.column(0), null_encoding="encode")
+            code = np.asarray(key.indices)
+            z = np.column_stack([(b.column(i + 1).to_numpy(zero_copy_only=False) - mean[i]) / width[i] for i in range(p + 1)] + [np.ones(b.num_rows)])
+            for k in np.unique(code):
+                part = z[code == k]
+                name = key.dictionary[int(k)].as_py()
+                total[name] = total.get(name, 0) + part.T @ part
+        for name, t in total.items():
+            yield pa.RecordBatch.from_pydict({"grp": pa.array([name] * (m * m), key.dictionary.type), "i": np.arange(m * m, dtype=np.int32), "v": t.ravel()})
+
+    stats = held.mapInArrow(sums, f"grp {kind}, i int, v double").groupBy("grp", "i").agg(F.sum("v").alias("v"))
+    packed = stats.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("s"))
 
     def solve(batches):
         for pdf in batches:
             out = []
-            for r in pdf.to_dict("records"):
-                s = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-                t, m = np.array([r[f"t{i}"] for i in range(p)]), np.array([r[f"m{i}"] for i in range(p)])
-                scale = np.sqrt(np.maximum(np.diag(s), 1e-300))
-                w = np.linalg.lstsq(s / np.outer(scale, scale) + ridge * np.eye(p), t / scale, rcond=None)[0] / scale
-                error = max(r["yy"] - 2 * w @ t + w @ s @ w, 0.0)
-                out.append((r[group], int(r["n"]), w.tolist(), float(r["my"] - w @ m), float(np.sqrt(error / r["n"]))))
+            for name, flat in zip(pdf["grp"], pdf["s"]):
+                t = np.asarray(flat).reshape(m, m)
+                n = t[-1, -1]
+                c = t[:-1, :-1] - np.outer(t[:-1, -1], t[:-1, -1]) / n  # about the group's own means
+                own = np.sqrt(np.maximum(np.diag(c)[:p], 1e-300))
+                w = np.linalg.lstsq(c[:p, :p] / np.outer(own, own) + ridge * np.eye(p), c[:p, p] / own, rcond=None)[0] / own
+                error = max(c[p, p] - 2 * w @ c[:p, p] + w @ c[:p, :p] @ w, 0.0)
+                real = w * width[p] / width[:p]
+                centre = mean + width * t[:-1, -1] / n
+                out.append((name, int(round(n)), real.tolist(), float(centre[p] - real @ centre[:p]), float(np.sqrt(error / n) * width[p])))
             yield pd.DataFrame(out, columns=["grp", "n", "weights", "intercept", "train_rmse"])
 
-    return stats.mapInPandas(solve, f"grp {kind}, n long, weights array<double>, intercept double, train_rmse double").withColumnRenamed("grp", group)
+    return packed.mapInPandas(solve, f"grp {kind}, n long, weights array<double>, intercept double, train_rmse double").withColumnRenamed("grp", group)
 
 
 def score_linear(queries: DataFrame, names: list[str], models: DataFrame, key: str = "query_id") -> DataFrame:
