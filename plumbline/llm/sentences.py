@@ -8,12 +8,13 @@ summed up, are places in the original text, from which the sentence itself is ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Placeholders: a masked stop, a hard break, the end of a leading mark, a boundary.
 STOP, BREAK, MARK, CUT = "", "", "", ""
 WS = r"[\s\p{Z}]"
+BLANKS = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000" + BREAK
 
 # Abbreviations that never end a sentence, as a name or word follows.
 TITLES = (
@@ -45,67 +46,84 @@ def _any(words: list[str]) -> str:
     return "(?:" + "|".join(sorted(both, key=lambda w: (-len(w), w))) + ")"
 
 
-# The rules, in order: pattern (Java) and replacement. Every one keeps the number of characters, until those that put in MARK and CUT.
-LINES = [
-    (r"[-]", ""),
-    ("\r\n", " \n"),
-    ("\r| | ", "\n"),
-    # A blank line; a next line that is a heading, list item or quotation; the end of a heading.
-    (rf"\n(?=[ \t\p{{Zs}}]*\n)|\n(?=[ \t]*(?:#{{1,6}}[ \t]|[-*+•‣◦][ \t]|>|[0-9]{{1,3}}[.)][ \t](?!{_any(MONTHS)}\b)))", BREAK),
-    (rf"(?<![^\n{BREAK}])([ \t]{{0,3}}#{{1,6}}[ \t][^\n{BREAK}]*)\n", rf"$1{BREAK}"),
-    ("\n", " "),
-]
-QUOTES = [
-    (rf"„([^„“”{BREAK}]{{0,400}})[“”]", "“$1”"),
-    (rf"(?<![^\s\p{{Z}}(\[（“‘«¿¡{BREAK}—–])\"(?=\S)", "“"),
-    ("\"", "”"),
-]
-MASKS = [
-    # Decimals, versions, addresses, file names: a stop between word characters that start no new sentence.
-    (r"(?<=[\p{N}])[.](?=\p{N})", STOP),
-    # Letters set apart (z. B., i. d. R.), and initials.
-    (rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(\p{{L}})[.](?={WS}{{0,2}}\p{{L}}[.])", rf"$1{STOP}"),
-    (rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(\p{{Lu}})[.](?={WS}{{0,2}}\p{{L}})", rf"$1{STOP}"),
-    # Abbreviations.
-    (rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(?=[\p{{L}}\p{{M}}-]{{1,7}}+[.])({_any(TITLES)})[.](?={WS})", rf"$1{STOP}"),
-    (rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(?=[\p{{L}}№]{{1,7}}+[.])({_any(NUMBERED)})[.](?={WS}{{0,2}}\p{{N}})", rf"$1{STOP}"),
-    (rf"(?<=\p{{N}})[.](?={WS}{{1,2}}{_any(MONTHS)}\b)", STOP),
-    (rf"(?<![\p{{L}}\p{{M}}])({_any(ARTICLES)}{WS}[0-9]{{1,3}})[.](?={WS}{{1,2}}\p{{Lu}})", rf"$1{STOP}"),
-    # A number that opens a heading or unit.
-    (rf"(?<![^{BREAK}])((?:[ \t]*(?:#{{1,6}}|[-*+•‣◦]|>|[0-9]{{1,3}}[.)])[ \t]+)+[0-9]{{1,3}})[.](?={WS})", rf"$1{STOP}"),
-]
-# Each looks ahead without going back (possessive), and behind only once the rest fits.
-WORD_NEXT = r"(?=[^\p{L}\p{N}“”«»()（）「」]{0,30}+[\p{L}\p{N}])"
-INSIDE = [
-    # Within quotation marks or brackets, where words follow before they close.
-    *((rf"[{STOPS}]{WORD_NEXT}(?=[^{o}{c}{BREAK}]{{0,400}}+[{c}])", STOP) for o, c in ("“”", "«»", "「」")),
-    (rf"[{STOPS}]{WORD_NEXT}(?=[^()（）{BREAK}]{{0,400}}+[)）])", STOP),
+_WORD_START = r"(?<![\p{L}\p{N}\p{M}])"
+_MARKS = r"(?:#{1,6}|[-*+•‣◦]|>|[0-9]{1,3}[.)])"
+
+
+def _inside(o: str, c: str) -> str:
+    """A stop within quotation marks or brackets that close again, where words follow before they do.
+
+    From an opening mark, or from the stop found last, on to the next stop: text without such marks is passed over once.
+    """
+    own = f"[^{o}{c}{BREAK}"
+    return rf"((?:[{o}](?={own}]{{0,400}}+[{c}])|\G(?!\A)){own}{STOPS}]*+)[{STOPS}](?=[^\p{{L}}\p{{N}}{o}{c}]{{0,30}}+[\p{{L}}\p{{N}}])"
+
+
+# Stops that end no sentence. Each alternative looks behind only once a stop is found.
+_MASKED = [
+    r"(?<=\p{N}[.])(?=\p{N})",  # decimals, versions, addresses
+    rf"(?<={_WORD_START}\p{{L}}[.])(?={WS}{{0,2}}\p{{L}}[.])",  # letters set apart (z. B., i. d. R.)
+    rf"(?<={_WORD_START}\p{{Lu}}[.])(?={WS}{{0,2}}\p{{L}})",  # initials
+    rf"(?<={_WORD_START}{_any(TITLES)}[.])(?={WS})",
+    rf"(?<={_WORD_START}{_any(NUMBERED)}[.])(?={WS}{{0,2}}\p{{N}})",
+    rf"(?<=\p{{N}}[.])(?={WS}{{1,2}}{_any(MONTHS)}\b)",
+    rf"(?<=(?<![\p{{L}}\p{{M}}]){_any(ARTICLES)}{WS}[0-9]{{1,3}}[.])(?={WS}{{1,2}}\p{{Lu}})",  # ordinals
     # Right before they close: a bracket opened within a sentence; a title; a quotation after which the sentence runs on.
-    (rf"[{STOPS}](?=[{STOPS}]{{0,3}}[”」]?[)）])(?<=[\p{{L}}\p{{M}}\p{{N}},;:%]{WS}{{0,2}}[(（][^()（）{BREAK}]{{0,120}})", STOP),
-    (rf"[{STOPS}](?=[{STOPS}]{{0,3}}》)", STOP),
-    (rf"[{STOPS}](?=[{STOPS}]{{0,3}}[」』][{CJK}、，])", STOP),
-    (rf"[{STOPS}](?=[{STOPS}]{{0,3}}{WS}?[”»]{WS}?[\p{{Lo}}、，])(?<![:：][“«][^“”«»{BREAK}]{{0,80}})", STOP),
+    rf"(?=[{STOPS}]{{0,3}}[”」]?[)）])(?<=[\p{{L}}\p{{M}}\p{{N}},;:%]{WS}{{0,2}}[(（][^()（）{BREAK}]{{0,120}})",
+    rf"(?=[{STOPS}]{{0,3}}》)",
+    rf"(?=[{STOPS}]{{0,3}}[」』][{CJK}、，])",
+    rf"(?=[{STOPS}]{{0,3}}{WS}?[”»]{WS}?[\p{{Lo}}、，])(?<![:：][“«][^“”«»{BREAK}]{{0,80}})",
 ]
-CUTS = [
-    (rf"(?<![^{BREAK}])((?:[ \t]*(?:#{{1,6}}|[-*+•‣◦]|>|[0-9]{{1,3}}[.)])(?:[ \t]+|(?={BREAK}|$)))+)", rf"$1{MARK}{CUT}"),
-    (rf"({BREAK})", rf"$1{CUT}"),
+# Where a sentence ends: what is matched, a boundary follows.
+_ENDS = [
     # Scripts without spaces between sentences.
-    (rf"([{WIDE}][{STOPS}]*[{QUOTES_END}]*|…[{STOPS}]*[{QUOTES_END}]*(?=[{CJK}（「『“《]))(?![{QUOTES_END}{STOPS}\s\p{{Z}}]|$)", rf"$1{CUT}"),
+    rf"(?:[{WIDE}][{STOPS}]*[{QUOTES_END}]*|…[{STOPS}]*[{QUOTES_END}]*(?=[{CJK}（「『“《]))(?![{QUOTES_END}{STOPS}\s\p{{Z}}]|$)",
     # Scripts with spaces: a stop, what closes, a space, and a start that is no small letter (or a name such as iName).
-    (rf"([{STOPS}](?:{WS}?»|[{QUOTES_END}])*{WS}+)(?=[^\p{{Ll}}\p{{Pd}}\s\p{{Z}}{QUOTES_END}{STOPS}{BREAK}{MARK}{CUT},;:]|\p{{Ll}}\p{{Lu}})", rf"$1{CUT}"),
+    rf"[{STOPS}](?:{WS}?»|[{QUOTES_END}])*{WS}+(?=[^\p{{Ll}}\p{{Pd}}\s\p{{Z}}{QUOTES_END}{STOPS}{BREAK}{MARK}{CUT},;:]|\p{{Ll}}\p{{Lu}})",
     # A space that was forgotten.
-    (rf"((?<=[\p{{Ll}}\p{{M}}]{{2}}|[.{STOP}]m|\p{{Ll}}[)”»]|\p{{N}})[.!?…][)”»]*)(?=\p{{Lu}}[\p{{Ll}}\s{STOP}]|\p{{Ll}}\p{{Lu}}\p{{Ll}})", rf"$1{CUT}"),
+    rf"(?<=[\p{{Ll}}\p{{M}}]{{2}}|[.{STOP}]m|\p{{Ll}}[)”»]|\p{{N}})[.!?…][)”»]*(?=\p{{Lu}}[\p{{Ll}}\s{STOP}]|\p{{Ll}}\p{{Lu}}\p{{Ll}})",
     # Thai: a space is the stop.
-    (r"((?<=[฀-๿0-9)”])[\s\p{Z}]+)(?=[฀-๿])", rf"$1{CUT}"),
+    r"(?<=[\u0e00-\u0e7f0-9)”])[\s\p{Z}]+(?=[\u0e00-\u0e7f])",
+]
+# The rules, in order: characters without one of which there is nothing to do, pattern (Java), replacement. Every one keeps the number of
+# characters, until those that put in MARK and CUT.
+RULES = [
+    (STOP + BREAK + MARK + CUT, rf"[{STOP}{BREAK}{MARK}{CUT}]", "\uf8ff"),
+    ("\r", "\r\n", " \n"),
+    ("\r\u2028\u2029", "[\r\u2028\u2029]", "\n"),
+    # A blank line; a next line that is a heading, list item or quotation; the end of a heading.
+    ("\n", rf"\n(?=[ \t\p{{Zs}}]*\n)|\n(?=[ \t]*(?:#{{1,6}}[ \t]|[-*+•‣◦][ \t]|>|[0-9]{{1,3}}[.)][ \t](?!{_any(MONTHS)}\b)))", BREAK),
+    ("#", rf"(?<![^\n{BREAK}])([ \t]{{0,3}}#{{1,6}}[ \t][^\n{BREAK}]*)\n", rf"$1{BREAK}"),
+    ("\n", None, " "),
+    ("„", rf"„([^„“”{BREAK}]{{0,400}})[“”]", "“$1”"),
+    ('"', rf"(?<![^\s\p{{Z}}(\[（“‘«¿¡{BREAK}—–])\"(?=\S)", "“"),
+    ('"', None, "”"),
+    # A number that opens a heading or item.
+    ("#-*+•‣◦>", rf"(?<![^{BREAK}])([ \t]*{_MARKS}[ \t]+[0-9]{{1,3}})[.](?={WS})", rf"$1{STOP}"),
+    *((o, _inside(o, c), rf"$1{STOP}") for o, c in (("“", "”"), ("«", "»"), ("「", "」"), ("(（", ")）"))),
+    (STOPS, rf"[{STOPS}](?:{'|'.join(_MASKED)})", STOP),
+    (None, rf"(?<![^{BREAK}])((?:[ \t]*{_MARKS}(?:[ \t]+|(?={BREAK}|$)))+)", rf"$1{MARK}{CUT}"),
+    (BREAK, None, BREAK + CUT),
+    (None, "|".join(_ENDS), rf"$0{CUT}"),
 ]
 
 
-def marked(text: Column) -> Column:
-    """The copy of a text with placeholders and boundary signs; without MARK and CUT it has as many characters as the text."""
-    rules = [*LINES, *QUOTES, *MASKS, *INSIDE, *CUTS]
-    for pattern, new in rules:
-        text = F.regexp_replace(text, pattern, new)
-    return text
+def marked(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the copy of a text with placeholders and boundary signs; without MARK and CUT it has as many characters as the text.
+
+    One projection a rule: a text is only handed to a pattern if it holds one of the characters it is about.
+    """
+    rows = rows.withColumn(out, F.col(text))
+    for needs, pattern, new in RULES:
+        c = F.col(out)
+        done = F.regexp_replace(c, pattern, new) if pattern else F.replace(c, F.lit(needs), F.lit(new))
+        if needs and pattern:
+            holds = F.lit(False)
+            for n in needs:
+                holds = holds | F.contains(c, F.lit(n))
+            done = F.when(holds, done).otherwise(c)
+        rows = rows.withColumn(out, done)
+    return rows
 
 
 def sentences(docs: DataFrame, cells: DataFrame, kind: str = "text") -> DataFrame:
@@ -124,12 +142,12 @@ def sentences(docs: DataFrame, cells: DataFrame, kind: str = "text") -> DataFram
         .withColumn("__cell", F.explode("__cells"))
         .select("doc_id", F.col("__cell.char_start").alias("__at"), F.expr("substring(text, cast(__cell.char_start + 1 as int), cast(__cell.char_end - __cell.char_start as int))").alias("__body"))
     )
-    pieces = body.select("doc_id", "__at", "__body", F.posexplode(F.split(marked(F.col("__body")), CUT)).alias("__no", "__piece"))
+    pieces = marked(body, "__body", "__copy").select("doc_id", "__at", "__body", F.posexplode(F.split("__copy", CUT)).alias("__no", "__piece"))
     is_mark = F.col("__piece").endswith(MARK)
     size = F.char_length("__piece") - is_mark.cast("int")
-    bare = F.regexp_replace("__piece", rf"^(?:{WS}|{BREAK})+", "")
+    bare = F.ltrim("__piece", F.lit(BLANKS))
     lead = F.char_length("__piece") - F.char_length(bare)
-    core = F.char_length(F.regexp_replace(bare, rf"(?:{WS}|{BREAK})+$", ""))
+    core = F.char_length(F.trim("__piece", F.lit(BLANKS)))
     w = Window.partitionBy("doc_id", "__at").orderBy("__no")
     placed = pieces.select("doc_id", "__at", "__no", "__body", is_mark.alias("__mark"), size.alias("__size"), lead.alias("__lead"), core.alias("__core"))
     start = F.sum("__size").over(w) - F.col("__size") + F.col("__lead")

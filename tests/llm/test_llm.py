@@ -207,7 +207,7 @@ def test_marked_texts(spark):
 @given(st.lists(st.text(alphabet="ab A.!?。…\n\r#-*>1\"“”«»()「」  ก😀", max_size=40), min_size=5, max_size=20))
 def test_places_are_kept(spark, texts):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in d.select("text", marked(F.col("text")).alias("m")).collect():
+    for r in marked(d, "text", "m").collect():
         assert len(r.m.replace(MARK, "").replace(CUT, "")) == len(r.text)
     cells = spark.createDataFrame([(i, "text", 0, len(t) + 5) for i, t in enumerate(texts)], "doc_id long, kind string, char_start long, char_end long")
     seen: dict[int, int] = {}
