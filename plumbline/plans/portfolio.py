@@ -442,7 +442,7 @@ _SINGLE = "single as (select p.model_idx as s, q.model_idx as t, avg(abs(p.y - q
 
 def _search_n3() -> str:
     """The searches written out for three models: coverage of every set, then each choice in turn."""
-    gammas = ", ".join(f"({g})" for g in GAMMAS_N3)
+    gammas = ", ".join(f"({g}::double)" for g in GAMMAS_N3)
     pair = lambda x, y: f"(select c from e2 where a = least({x}, {y}) and b = greatest({x}, {y}))"
     one = lambda x: f"(select c from e1 where s = {x})"
     base = _PAIR.replace("split = 'eval'", "split = 'eval' and model_idx < 3").replace("split = 'fit'", "split = 'fit' and model_idx < 3")
