@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import format_dose, stable_seed
 
+RANGES = 4096
+
 
 def sample_rows(rows: DataFrame, n: int, seed: str, key: str) -> DataFrame:
     """At most n rows without replacement: those whose seeded digests come first. The same rows whatever the partitions.
@@ -27,12 +29,14 @@ def pool(rows: DataFrame, fit: int, evaluate: int, seed: str = "0", key: str = "
 def head_tail(texts: DataFrame, order: str) -> DataFrame:
     """Adds half: the first max(1, n div 2) rows are fit, the others eval; a single row is both.
 
-    The rank comes from counts of ordered ranges, joined back, so rows are never put in one task.
+    The rank comes from the counts of a fixed number of ranges of the order, joined back: one task sorts one range, never all rows.
     """
-    ranged = texts.withColumn("__r", F.floor(F.col(order) / 4096))
+    at = F.col(order).cast("double")
+    n, low, high = (texts.agg(a.alias("v")).select("v").scalar() for a in (F.count("*"), F.min(at), F.max(at)))
+    ranged = texts.withColumn("__r", F.floor((at - low) / ((high - low) / RANGES + 1e-9)))
     per = ranged.groupBy("__r").agg(F.count("*").alias("__c"))
+    # At most RANGES + 1 rows in this window.
     before = per.withColumn("__b", F.sum("__c").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))).drop("__c")
-    n = texts.agg(F.count("*").alias("n")).select("n").scalar()
     w = Window.partitionBy("__r").orderBy(order)
     placed = ranged.join(before, "__r").withColumn("__i", F.coalesce("__b", F.lit(0)) + F.row_number().over(w)).withColumn("__n", n)
     first = F.col("__i") <= F.greatest(F.lit(1), F.floor(F.col("__n") / 2))
