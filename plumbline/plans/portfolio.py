@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,7 @@ from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = series.SeriesConfig(horizon=1, lags=(1, 2, 3, 6), days=30, detectors=40, min_points=100)
+WHOLE = replace(CONFIG, days=None, detectors=None)
 DOSES = (0.0, 0.25, 0.5)
 GAMMAS_N3 = (20.0, 60.0, 80.0, 120.0, 400.0)
 GAMMAS = (40.0, 60.0, 80.0, 100.0)
@@ -50,66 +52,66 @@ def recent_days(spark: SparkSession, d: str) -> DataFrame:
     return series.recent_days(series.clean_observations(_raw(spark, d)), CONFIG.days).select(*KEYS, F.col("day").cast("string").alias("day"))
 
 
-def _recent(spark: SparkSession, d: str) -> DataFrame:
-    return series.recent_days(series.clean_observations(_raw(spark, d)), CONFIG.days)
+def _recent(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
+    return series.recent_days(series.clean_observations(_raw(spark, d)), config.days)
 
 
 def detector_topk(spark: SparkSession, d: str) -> DataFrame:
     return series.busiest_detectors(_recent(spark, d), 5, CONFIG.min_points)
 
 
-def _kept(spark: SparkSession, d: str) -> DataFrame:
-    obs = _recent(spark, d)
-    return obs.join(series.busiest_detectors(obs, CONFIG.detectors, CONFIG.min_points), ["city", "detid"], "left_semi")
+def _kept(spark: SparkSession, d: str, config: series.SeriesConfig) -> DataFrame:
+    obs = _recent(spark, d, config)
+    return obs.join(series.busiest_detectors(obs, config.detectors, config.min_points), ["city", "detid"], "left_semi")
 
 
-def calendar_features(spark: SparkSession, d: str) -> DataFrame:
-    return settle_all(series.calendar_features(_kept(spark, d)).select(*KEYS, "dow", "is_weekend", "dow_sin", "dow_cos", "tod_sin", "tod_cos"))
+def calendar_features(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
+    return settle_all(series.calendar_features(_kept(spark, d, config)).select(*KEYS, "dow", "is_weekend", "dow_sin", "dow_cos", "tod_sin", "tod_cos"))
 
 
-def lag_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = series.lag_features(_kept(spark, d), CONFIG.lags, CONFIG.horizon)
+def lag_features(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
+    rows = series.lag_features(_kept(spark, d, config), CONFIG.lags, CONFIG.horizon)
     return settle_all(rows.select(*KEYS, *(f"{c}_lag{k}" for c in ("flow", "occ") for k in CONFIG.lags), "flow_diff1", "y", "split"))
 
 
-def prepared_features(spark: SparkSession, d: str) -> DataFrame:
-    rows, names = series.prepare(_raw(spark, d), CONFIG)
+def prepared_features(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
+    rows, names = series.prepare(_raw(spark, d), config)
     return settle_all(rows.select(*KEYS, *names, "y", "split"))
 
 
-def split_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return series.split_sizes(series.prepare(_raw(spark, d), CONFIG)[0])
+def split_sizes(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
+    return series.split_sizes(series.prepare(_raw(spark, d), config)[0])
 
 
 def city_list(spark: SparkSession, d: str) -> DataFrame:
     return _raw(spark, d).where("city is not null").select("city").distinct().orderBy("city")
 
 
-def linear_trend(spark: SparkSession, d: str) -> DataFrame:
+def linear_trend(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
     """One-feature regression of the next flow on this one, per city."""
-    rows = series.lag_features(_kept(spark, d), CONFIG.lags, CONFIG.horizon).where("split = 'train'")
+    rows = series.lag_features(_kept(spark, d, config), CONFIG.lags, CONFIG.horizon).where("split = 'train'")
     return settle_all(rows.groupBy("city").agg(F.count("*").alias("n"), F.regr_slope("y", "flow").alias("slope"), F.regr_intercept("y", "flow").alias("intercept")))
 
 
-def model_rmse(spark: SparkSession, d: str) -> DataFrame:
+def model_rmse(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
     """Root mean square error of "the next flow is this flow", per city."""
-    rows = series.lag_features(_kept(spark, d), CONFIG.lags, CONFIG.horizon).where("split = 'train'")
+    rows = series.lag_features(_kept(spark, d, config), CONFIG.lags, CONFIG.horizon).where("split = 'train'")
     return settle_all(train_rmse(rows.withColumn("y_hat", F.col("flow"))))
 
 
 def linear_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows, names = series.prepare(_raw(spark, d), CONFIG)
+    rows, names = series.prepare(_raw(spark, d), WHOLE)
     return linear_models(series.finite_rows(rows, names).where("split = 'train'"), names)
 
 
 def boosted_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows, names = series.prepare(_raw(spark, d), CONFIG)
+    rows, names = series.prepare(_raw(spark, d), WHOLE)
     train = series.finite_rows(rows, names).where("split = 'train'")
     return boosted_models(train, names, config=BoostConfig(rounds=20, max_rows=20_000)).drop("model")
 
 
 def response_bundle(spark: SparkSession, d: str) -> DataFrame:
-    return build_bundle(_raw(spark, d), CONFIG, sizes=(200, 50, 50), pooled=(500, 500)).responses
+    return build_bundle(_raw(spark, d), WHOLE, sizes=(200, 50, 50), pooled=(500, 500)).responses
 
 
 # --- responses ---
@@ -334,9 +336,9 @@ def sample_texts(spark: SparkSession, d: str) -> DataFrame:
     return responses.sample_rows(table(spark, d, "documents").select("doc_id"), 50, "7", "doc_id")
 
 
-def pooled_queries(spark: SparkSession, d: str) -> DataFrame:
+def pooled_queries(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
     """Rows of val and test drawn from all cities."""
-    return responses.pool(series.prepare(_raw(spark, d), CONFIG)[0], 300, 300).select("obs_id", "role")
+    return responses.pool(series.prepare(_raw(spark, d), config)[0], 300, 300).select("obs_id", "role")
 
 
 def simplex_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -391,6 +393,15 @@ QUERIES |= {f"pair_certificates_{m}": _pair_queries(m) for m in ("mean_abs", "rm
 QUERIES |= {f"{a}_n{n or 'all'}": _search_queries(a, n, g) for a in ALGORITHMS for n, g in ((8, 60.0), (None, 60.0))}
 QUERIES["certificates"] = _certificates(80.0)
 
+
+def _full(query: Callable[..., DataFrame]) -> Query:
+    return lambda spark, d: query(spark, d, WHOLE)
+
+
+#: Over all days and all detectors with min_points rows.
+FULL = (calendar_features, lag_features, prepared_features, split_sizes, linear_trend, model_rmse, pooled_queries)
+QUERIES |= {f"{f.__name__}_full": _full(f) for f in FULL}
+
 # --- the same as SQL ---
 
 _CLEAN = """clean as (select * from utd19_u where day is not null and isfinite("interval") and isfinite(flow) and isfinite(occ) and city is not null and detid is not null
@@ -404,6 +415,8 @@ def _top(most: int) -> str:
 
 
 _KEPT = f"{_RECENT}, {_top(CONFIG.detectors)}, kept as (select r.* from recent r semi join top t on r.city = t.city and r.detid = t.detid)"
+_ALL = f"""{_CLEAN}, top as (select city, detid from clean group by city, detid having count(*) >= {WHOLE.min_points}),
+  kept as (select r.* from clean r semi join top t on r.city = t.city and r.detid = t.detid)"""
 _CAL = """cal as (select *, (isodow(day) - 1)::tinyint as dow, (isodow(day) >= 6)::tinyint as is_weekend,
   least(greatest("interval" / case when p = 0 then 1 else p end, 0), 1) as part from (select *, max("interval") over (partition by city) + 1 as p from kept))"""
 _LAGS = ", ".join(f"lag({c}, {k}) over w as {c}_lag{k}" for c in ("flow", "occ") for k in CONFIG.lags)
@@ -541,3 +554,4 @@ select query_id, {', '.join(f"{_round(f'case when t > 0 then greatest({x}, 0) /
     "algorithm_names": "select distinct algorithm from run_summary",
     "runs_json": "select gamma, algorithm, to_json({'kept_set_size': kept_set_size, 'satisfies_gamma': satisfies_gamma, 'kept_set_names': kept_set_names})::varchar as json from run_summary",
 }
+SQL |= {f"{f.__name__}_full": SQL[f.__name__].replace(_KEPT, _ALL) for f in FULL}

@@ -54,3 +54,15 @@ def test_runs(spark, data, name):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_fits_and_features_take_every_row(spark, con, data):
+    """All days and detectors, counted by plain SQL from the series with enough readings."""
+    series = con.execute("""select city, count(*) as n from utd19_u where day is not null and isfinite("interval") and isfinite(flow) and isfinite(occ) and city is not null and detid is not null
+      and coalesce(case when isfinite(error) then error end, 0) = 0 group by city, detid having count(*) >= 100""").fetchall()
+    assert series
+    assert QUERIES["lag_features_full"](spark, data).count() == QUERIES["calendar_features_full"](spark, data).count() == sum(n for _, n in series)
+    train = {}
+    for city, n in series:  # six rows without lags come first, one row without a target last
+        train[city] = train.get(city, 0) + int(0.6 * n) - 1 - 6
+    assert {r.city: r.n for r in QUERIES["linear_fit"](spark, data).collect()} == train
