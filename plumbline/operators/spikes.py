@@ -27,8 +27,8 @@ class Limits:
     """What a measurement can be, and how far it must stand out.
 
     low, high: beyond them impossible. offset: added before taking logarithms, the size below which differences mean nothing.
-    up, down: by how much a reading must exceed (fall below) its neighbours' rests; level: below this no rise is a
-    spike. noise: at least so many noise widths, as well. extreme: a rise to here of one or two readings above level is a spike
+    up, down: by how much a reading must exceed (fall below) its neighbours' rests; level: below this a rise must be
+    as large as a fall, for short queues double or treble a low reading. noise: at least so many noise widths, as well. extreme: a rise to here of one or two readings above level is a spike
     even where too little is known of the detector to compare.
     """
 
@@ -163,13 +163,14 @@ def judge_field(g: np.ndarray, t: np.ndarray, v: np.ndarray, lim: Limits, usual_
         o = own[live]
         mine = np.log(rv[live] + lim.offset) - usual[inst[live]]
         for sign, least in ((1, lim.up), (-1, lim.down)):
-            gap = np.maximum(least, lim.noise * width)[o]
+            enough = np.where((sign < 0) | (rv[live] >= lim.level), least, max(lim.up, lim.down))
+            gap = np.maximum(enough, lim.noise * width[o])
             a1, a2, b1, b2, x = sign * p1[o], sign * p2[o], sign * n1[o], sign * n2[o], sign * mine
             around, left, right = np.fmax(a1, b1), np.fmax(a2, b1), np.fmax(a1, b2)
             alone = x - around > gap
             pair = ((np.minimum(x, a1) - left > gap) | (np.minimum(x, b1) - right > gap))
             far = x > gap * 0.8
-            out = (alone | pair) & far & ((sign < 0) | (rv[live] >= lim.level))
+            out = (alone | pair) & far
             hit = rows[live][out]
             flags[hit[flags[hit] == OK]] = SPIKE
     return flags, usual_all

@@ -170,6 +170,16 @@ def test_spikes(spark):
     assert flags(spark, items, True) == want
 
 
+def test_spikes_of_low_occupancy(spark):
+    """A jump from 0.03 to 0.3 is one, alone or in a pair; a rise by half is none."""
+    rng = np.random.default_rng(4)
+    s = [x[:5] + [round(float(0.03 * rng.lognormal(0, 0.1)), 4)] for x in series()]
+    s[300][5] = 0.3
+    s[400][5], s[401][5] = 0.31, 0.34
+    s[500][5] = 0.045
+    assert flags(spark, [tuple(x) for x in s]) == {k: (None, "spike") for k in (300, 400, 401)}
+
+
 def test_quiet_detector_may_rest(spark):
     rng = np.random.default_rng(1)
     s = [("x", "q", d, h * 3600.0, float(rng.integers(0, 5)) if 8 <= h < 20 else 0.0, 0.0) for d in range(20) for h in range(24)]
