@@ -9,8 +9,8 @@ counts and sums. A detector's cells form one row of a table in the shared folder
 has. Each EM step is one job over that table: its tasks find w_d of their detectors and return the expected
 sufficient statistics of the classes, a fixed number of sums; only those reach the driver.
 
-Filling. Missing detid: the detector of the city with the greatest posterior probability (the mode) given hour, flow and occ, found once
-for each combination of city, hour and coarse bins of flow and occ that occurs. Missing flow and occ: conditional expectation given the detector, the hour, weekday/weekend and the other measurement.
+Filling. Missing detid: the detector of the city with the greatest posterior probability (the mode) given the row's own hour,
+weekday/weekend, flow and occ. Missing flow and occ: conditional expectation given the detector, the hour, weekday/weekend and the other measurement.
 """
 
 from __future__ import annotations
@@ -31,10 +31,12 @@ from plumbline.session import shared_folder
 
 FLOW_OFF, OCC_OFF = 5.0, 0.005
 FLOW_BIN, OCC_BIN = 1 / 6, 1 / 4  # widths of the cells' bins, in logarithms
-COARSE = 3  # so many of them make a bin of the search for a detector
 FLOW_MAX, OCC_MAX = 12_000.0, 1.0  # beyond: not used for fitting
 HOURS = 24
 CELLS_AT_ONCE = 60_000
+SEARCH_TASKS = 16  # of a city, for the missing detectors
+SCORES_AT_ONCE = 2_000_000
+NONE = -1000.0  # no x or y among the keys of that search
 PRIOR = 20.0  # readings' worth of the common weights in a detector's own
 
 
@@ -218,27 +220,51 @@ def fit(raw: DataFrame, classes: int = 12, steps: int = 8, turns: int = 3) -> tu
     return m, spark.read.parquet(f"{folder}/detectors")
 
 
+def _scores(m: Mixture, a: np.ndarray, b: np.ndarray, x: bool, y: bool) -> np.ndarray:
+    """6 x (detectors * K): what 1, x, y, x * x, x * y and y * y add to the log density, when x and y are known or not."""
+    mx, my = a[:, None] + m.mean[:, 0], b[:, None] + m.mean[:, 1]
+    sxx, syy, sxy = m.cov[:, 0, 0], m.cov[:, 1, 1], m.cov[:, 0, 1]
+    zero = np.zeros_like(mx)
+    if x and y:
+        det = sxx * syy - sxy**2
+        p, q, r = zero + syy / det, zero - sxy / det, zero + sxx / det
+        norm = zero + np.log(det) + 2 * np.log(2 * np.pi)
+    else:
+        p, q, r = (zero + 1 / sxx if x else zero), zero, (zero + 1 / syy if y else zero)
+        norm = zero + (np.log(2 * np.pi * sxx) if x else np.log(2 * np.pi * syy) if y else 0.0)
+    parts = (-0.5 * (p * mx**2 + 2 * q * mx * my + r * my**2 + norm), p * mx + q * my, q * mx + r * my, -0.5 * p, -q, -0.5 * r)
+    return np.stack([c.ravel() for c in parts])
+
+
 def _modes(m: Mixture):
-    """The likeliest detector for each combination of hour and coarse bins, among the detectors of one city."""
+    """The likeliest detector of each row asked for, among the detectors of its city."""
 
     def run(key: tuple, asked: pd.DataFrame, dets: pd.DataFrame) -> pd.DataFrame:
-        out = asked[["city", "hour", "fb", "ob"]].copy()
-        out["guess"] = None
+        out = asked[["city", "hour", "weekend", "x", "y"]].copy()
+        best = np.full(len(asked), None, object)
         if len(asked) and len(dets):
             dets = dets.sort_values("detid")
-            w, n = np.stack(dets["w"].to_numpy()), dets["n"].to_numpy(float)
-            a, b, names = dets["a"].to_numpy(), dets["b"].to_numpy(), dets["detid"].to_numpy()
-            wide = (COARSE * FLOW_BIN, COARSE * OCC_BIN)
-            x, y = (asked[c].to_numpy(float) * s + s / 2 for c, s in zip(("fb", "ob"), wide))
-            prior = np.log(w + 1e-12) + np.log(n)[:, None]
-            best = []
-            for i in range(len(asked)):
-                ones = np.ones(len(dets))
-                hours = np.full(len(dets), int(asked["hour"].iat[i]))
-                logs = m.log_density(hours, np.full(len(dets), -1), ones * x[i] - a, ones * y[i] - b) + prior
-                top = logs.max(1)
-                best.append(names[int(np.argmax(top + np.log(np.exp(logs - top[:, None]).sum(1))))])
-            out["guess"] = best
+            k, names = m.weight.size, dets["detid"].to_numpy(object)
+            prior = np.log(np.stack(dets["w"].to_numpy()) + 1e-12) + np.log(dets["n"].to_numpy(float))[:, None]
+            hour, weekend = asked["hour"].to_numpy(int), asked["weekend"].to_numpy(int)
+            x, y = asked["x"].to_numpy(float), asked["y"].to_numpy(float)
+            calendar = m.log_density(hour, weekend, np.full(x.size, np.nan), np.full(x.size, np.nan))
+            has_x, has_y = x != NONE, y != NONE
+            most = max(1, SCORES_AT_ONCE // prior.size)
+            for px, py in ((True, True), (True, False), (False, True), (False, False)):
+                rows = np.flatnonzero((has_x == px) & (has_y == py))
+                if not rows.size:
+                    continue
+                c = _scores(m, dets["a"].to_numpy(float), dets["b"].to_numpy(float), px, py)
+                c[0] += prior.ravel()
+                for at in range(0, rows.size, most):
+                    r = rows[at : at + most]
+                    u, v = np.where(px, x[r], 0.0), np.where(py, y[r], 0.0)
+                    logs = (np.stack([np.ones(r.size), u, v, u * u, u * v, v * v], 1) @ c).reshape(r.size, -1, k)
+                    logs += calendar[r][:, None, :]
+                    logs -= logs.max((1, 2), keepdims=True)
+                    best[r] = names[np.exp(logs, out=logs).sum(2).argmax(1)]
+        out["guess"] = best
         return out
 
     return run
@@ -264,8 +290,8 @@ def filled(raw: DataFrame, classes: int = 12, steps: int = 8) -> DataFrame:
     and detid_filled marking the filled cells.
 
     No usable value: null, not finite, blank, or a code or word for "no value". Impossible but genuine numbers stay as they are. Fitting and filling happen in
-    Spark jobs; complete rows take part in no join. The search for a missing detid meets each city's detectors once for
-    each combination of hour (spread over four tasks a city) and coarse bins, whose number is bounded, not once a row.
+    Spark jobs; complete rows take part in no join. The search for a missing detid scores each row with its own values against all
+    detectors of its city; equal rows count once, and a city's rows are spread over SEARCH_TASKS tasks.
 
     Rows without city: filled from the classes alone, detid stays null but marked. Rows without day or interval: the hour is integrated
     out. Cities without any known detector: detid stays null but marked. Columns flow_filled, occ_filled and detid_filled
@@ -279,14 +305,14 @@ def filled(raw: DataFrame, classes: int = 12, steps: int = 8) -> DataFrame:
     v = {f"__{k}": c for k, c in _variables(raw).items()}
     part = marked.where(lacking).withColumns(v)
 
-    coarse = {"__fb": F.floor(F.col("__x") / (COARSE * FLOW_BIN)).cast("int"), "__ob": F.floor(F.col("__y") / (COARSE * OCC_BIN)).cast("int")}
-    nameless = part.where("detid_filled").withColumns(coarse)
-    quarter = F.floor(F.col("hour") / 6).cast("int")
-    asked = nameless.where("city is not null").select("city", F.col("__hour").alias("hour"), F.col("__fb").alias("fb"), F.col("__ob").alias("ob")).distinct().withColumn("quarter", quarter)
-    copies = detectors.withColumn("quarter", F.explode(F.array(*(F.lit(q) for q in (-1, 0, 1, 2, 3)))))
-    guesses = asked.groupBy("city", "quarter").cogroup(copies.groupBy("city", "quarter")).applyInPandas(_modes(m), "city string, hour int, fb int, ob int, guess string").withColumnRenamed("guess", "__guess")
-    same = [F.col("q.city") == F.col("p.city"), F.col("q.hour") == F.col("p.__hour"), F.col("q.fb").eqNullSafe(F.col("p.__fb")), F.col("q.ob").eqNullSafe(F.col("p.__ob"))]
-    named = nameless.alias("p").join(guesses.alias("q"), same, "left").select("p.*", "q.__guess").withColumn("detid", F.col("__guess")).drop("__guess", "__fb", "__ob")
+    own = {"hour": F.col("__hour"), "weekend": F.col("__weekend"), **{c: F.coalesce(f"__{c}", F.lit(NONE)) for c in ("x", "y")}}
+    nameless = part.where("detid_filled").withColumns({f"__key_{k}": c for k, c in own.items()})
+    salt = F.pmod(F.xxhash64(*own), F.lit(SEARCH_TASKS)).cast("int")
+    asked = nameless.where("city is not null").select("city", *(F.col(f"__key_{k}").alias(k) for k in own)).distinct().withColumn("salt", salt)
+    copies = detectors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SEARCH_TASKS - 1))))
+    guesses = asked.groupBy("city", "salt").cogroup(copies.groupBy("city", "salt")).applyInPandas(_modes(m), "city string, hour int, weekend int, x double, y double, guess string").withColumnRenamed("guess", "__guess")
+    same = [F.col("q.city") == F.col("p.city"), *(F.col(f"q.{k}") == F.col(f"p.__key_{k}") for k in own)]
+    named = nameless.alias("p").join(guesses.alias("q"), same, "left").select("p.*", "q.__guess").withColumn("detid", F.col("__guess")).drop("__guess", *(f"__key_{k}" for k in own))
     ready = part.where("not detid_filled").unionByName(named)
 
     known = detectors.select(F.col("city").alias("__city"), F.col("detid").alias("__detid"), F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("w").alias("__w"))

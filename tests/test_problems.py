@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import spikes
+from plumbline.operators import impute, spikes
 from plumbline.operators.grid import regular_grid
 from plumbline.operators.impute import filled, unusable
 from plumbline.operators.keyed import heavy_keys, key_totals
@@ -236,6 +236,26 @@ def test_fill_accuracy_and_marks(spark, data):
     got.unpersist()
 
 
+def test_missing_detector_is_the_mode_of_its_row(spark, data, monkeypatch):
+    """The posterior of each nameless row by itself, with its own hour, weekend, flow and occ."""
+    raw = spark.read.parquet(f"{data}/utd19_u.parquet").where("city is not null")
+    raw = raw.withColumn("detid", F.when(F.pmod(F.xxhash64("obs_id"), F.lit(20)) > 0, F.col("detid")))
+    m, dets = impute.fit(raw, steps=4)
+    monkeypatch.setattr(impute, "fit", lambda *_: (m, dets))
+    got = filled(raw).where("detid_filled").select("obs_id", F.col("detid").alias("guess"))
+    asked = raw.withColumns({f"_{k}": c for k, c in impute._variables(raw).items()}).join(got, "obs_id").toPandas()
+    by = {c: p.sort_values("detid").reset_index(drop=True) for c, p in dets.toPandas().groupby("city")}
+    same = []
+    for r in asked.itertuples(index=False):
+        r = dict(zip(asked.columns, r))
+        d = by[r["city"]]
+        one = np.ones(len(d))
+        logs = m.log_density((one * r["_hour"]).astype(int), (one * r["_weekend"]).astype(int), one * r["_x"] - d.a.to_numpy(), one * r["_y"] - d.b.to_numpy())
+        p = (np.exp(logs) * (np.stack(d.w) + 1e-12)).sum(1) * d.n.to_numpy()
+        same.append(r["guess"] == d.detid[int(p.argmax())])
+    assert len(same) > 100 and all(same)
+
+
 def test_fill_edges(spark):
     t = rows(spark, [*BASE, ("z", None, 0, 5.0, None, None), ("z", "c", 0, 5.0, None, None), (None, None, None, None, None, None)], True)
     got = {r.obs_id: r for r in filled(t).collect()}
