@@ -71,7 +71,7 @@ def score_linear(queries: DataFrame, names: list[str], models: DataFrame, key: s
 
 @dataclass(frozen=True)
 class BoostConfig:
-    """rounds, learning_rate, depth, leaves, min_leaf, l2 as usual; bins per feature; at most max_rows training rows a group (a seeded sample beyond)."""
+    """rounds, learning_rate, depth, leaves, min_leaf, l2 as usual; bins per feature; at most max_rows training rows a group (a seeded sample beyond; None: all rows)."""
 
     rounds: int = 300
     learning_rate: float = 0.05
@@ -80,7 +80,7 @@ class BoostConfig:
     min_leaf: int = 40
     l2: float = 0.0
     bins: int = 64
-    max_rows: int = 200_000
+    max_rows: int | None = 200_000
     seed: int = 0
 
 
@@ -155,10 +155,12 @@ class BoostedTrees:
 
 
 def boosted_models(rows: DataFrame, names: list[str], group: str = "city", target: str = "y", config: BoostConfig = BoostConfig(), row_id: str = "obs_id") -> DataFrame:
-    """(group, n, train_rmse, model binary): boosted trees per group. A group above max_rows is sampled by a seeded hash before the shuffle, so no task holds more."""
-    n = rows.groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__g")
-    part = F.pmod(F.xxhash64(F.lit(config.seed), F.col(row_id)), F.lit(1_000_000)) / 1e6
-    held = rows.join(n, F.col(group) == F.col("__g")).where(part < config.max_rows / F.col("__n")).select(group, *(F.col(c).cast("double").alias(c) for c in names), F.col(target).cast("double").alias("__y"))
+    """(group, n, train_rmse, model binary): boosted trees per group. A group above max_rows is sampled by a seeded hash before the shuffle, so no task holds more; with max_rows=None a task holds a group."""
+    if config.max_rows is not None:
+        n = rows.groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__g")
+        part = F.pmod(F.xxhash64(F.lit(config.seed), F.col(row_id)), F.lit(1_000_000)) / 1e6
+        rows = rows.join(n, F.col(group) == F.col("__g")).where(part < config.max_rows / F.col("__n"))
+    held = rows.select(group, *(F.col(c).cast("double").alias(c) for c in names), F.col(target).cast("double").alias("__y"))
     kind = dict(rows.dtypes)[group]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,5 +171,25 @@ def boosted_models(rows: DataFrame, names: list[str], group: str = "city", targe
     return held.groupBy(group).applyInPandas(fit, f"grp {kind}, n long, train_rmse double, model binary").withColumnRenamed("grp", group)
 
 
+def score_boosted(queries: DataFrame, names: list[str], models: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, model_name, y): every boosted model on every query row. models: model_name, model; the query rows stand beside each model, so they must be few."""
+    x = F.array(*(F.col(c).cast("double") for c in names))
+    asked = queries.select(F.col(key).alias("key"), x.alias("x")).agg(F.collect_list(F.struct("key", "x")).alias("__q"))
+    kind = queries.select(key).schema[0].dataType.simpleString()
+
+    def answer(batches):
+        for b in batches:
+            held = b.column(2)
+            for i, (name, model) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                q = held[i].values
+                if q is None or not len(q):
+                    continue
+                y = pickle.loads(model).predict(np.asarray(q.field("x").flatten(), float).reshape(len(q), -1))
+                yield pa.RecordBatch.from_arrays([q.field("key"), pa.array([name] * len(q), b.schema.field(0).type), pa.array(y)], names=["key", "model_name", "y"])
+
+    named = dict(models.dtypes)["model_name"]
+    return models.select("model_name", "model").crossJoin(asked).mapInArrow(answer, f"key {kind}, model_name {named}, y double").withColumnRenamed("key", key)
+
+
 def train_rmse(scored: DataFrame, group: str = "city", y: str = "y", fitted: str = "y_hat") -> DataFrame:
     return scored.groupBy(group).agg(F.sqrt(F.avg(F.pow(F.col(fitted) - F.col(y), 2))).alias("train_rmse"))

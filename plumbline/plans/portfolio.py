@@ -107,11 +107,11 @@ def linear_fit(spark: SparkSession, d: str) -> DataFrame:
 def boosted_fit(spark: SparkSession, d: str) -> DataFrame:
     rows, names = series.prepare(_raw(spark, d), WHOLE)
     train = series.finite_rows(rows, names).where("split = 'train'")
-    return boosted_models(train, names, config=BoostConfig(rounds=20, max_rows=20_000)).drop("model")
+    return boosted_models(train, names, config=BoostConfig(max_rows=None)).drop("model")
 
 
 def response_bundle(spark: SparkSession, d: str) -> DataFrame:
-    return build_bundle(_raw(spark, d), WHOLE, sizes=(200, 50, 50), pooled=(500, 500)).responses
+    return build_bundle(_raw(spark, d), WHOLE, boost=BoostConfig(max_rows=None)).responses
 
 
 # --- responses ---

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import pickle
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from plumbline.operators.ecosystem import Ecosystem, FunctionUnit, loaded
 from plumbline.operators.learners import BoostConfig, BoostedTrees, boosted_models, linear_models, score_linear
 from plumbline.operators.metrics import gram_table
 from plumbline.operators.responses import dose_grid, head_tail, response_long, response_wide, sample_rows, unique_names
-from plumbline.operators.series import SeriesConfig, busiest_detectors, clean_observations, feature_names, lag_features, prepare, recent_days
+from plumbline.operators.series import SeriesConfig, busiest_detectors, clean_observations, feature_names, finite_rows, lag_features, prepare, recent_days
 from plumbline.sources.observations import read_csv
 from plumbline.streaming.gram import gram_stream
 
@@ -92,6 +93,23 @@ def test_bundle(spark, data, tmp_path):
     assert rows.count() == 0 and len(names) == 13
 
 
+def test_boosted_bundle_answers_with_its_models(spark, data):
+    raw = spark.read.parquet(f"{data}/utd19_u.parquet")
+    c, boost = SeriesConfig(days=None, detectors=None, min_points=30, lags=(1, 2)), BoostConfig(rounds=5, min_leaf=5, max_rows=None)
+    b = build_bundle(raw, c, (60, 10, 10), (50, 40), boost=boost)
+    got = {(r.split, r.query_id, r.model_name): r.y for r in b.responses.collect()}
+    rows, names = prepare(raw, c)
+    rows = finite_rows(rows, names)
+    at = {r.obs_id: [float(r[k]) for k in names] for r in rows.where("split in ('val', 'test')").collect()}
+    train = rows.where("split = 'train'")
+    n = {r.city: r["count"] for r in train.groupBy("city").count().collect()}
+    models = {r.city: r for r in boosted_models(train, names, config=boost).collect()}
+    assert len(got) == 90 * b.models.count() and all(models[k].n == n[k] for k in models)
+    for name in {k[2] for k in got}:
+        keys = [k for k in got if k[2] == name]
+        assert pickle.loads(models[name].model).predict(np.array([at[k[1]] for k in keys])) == pytest.approx([got[k] for k in keys], abs=1e-6)
+
+
 def test_seed_and_mask(spark):
     t = spark.createDataFrame([(0, "a b c d e", 0.5, 3), (1, "", 0.5, 3), (2, None, 0.5, 3), (3, "x  y", 0.0, 1), (4, "x y", 2.0, 1), (5, "u v", 0.25, 1)], "k int, t string, theta double, seed long")
     got = {r.k: r for r in t.select("k", mask_text(F.col("t"), F.col("theta"), F.col("seed")).alias("m"), stable_seed(F.col("t"), F.lit("z")).alias("s")).collect()}
