@@ -190,7 +190,8 @@ def test_quiet_detector_may_rest(spark):
     assert set(flags(spark, [tuple(x) for x in busy])) == set(range(200, 212))
 
 
-def test_pieces_agree_with_whole(spark, monkeypatch):
+@pytest.mark.parametrize("rows_a_piece", [60, 300, 10**6])
+def test_slices_agree_with_whole(spark, monkeypatch, rows_a_piece):
     s = series(70, 7)
     rng = np.random.default_rng(8)
     for k in rng.choice(len(s), 40, replace=False):
@@ -201,12 +202,47 @@ def test_pieces_agree_with_whole(spark, monkeypatch):
     items = [tuple(x) for x in s]
     t = np.array([(D0 - dt.date(1970, 1, 1)).days * 86400 + i[2] * 86400 + i[3] for i in items])
     order = np.argsort(t, kind="stable")
-    f, o = spikes.judge(np.zeros(len(s), int), t[order], np.array([i[4] for i in items], float)[order], np.array([i[5] for i in items], float)[order])
+    f, o = (x.flag for x in spikes.judge(np.zeros(len(s), int), t[order], np.array([i[4] for i in items], float)[order], np.array([i[5] for i in items], float)[order]))
     whole = {int(order[k]): (spikes.NAMES[f[k]], spikes.NAMES[o[k]]) for k in range(len(s)) if f[k] or o[k]}
-    monkeypatch.setattr(spikes, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(spikes, "PIECE_ROWS", rows_a_piece)
     assert flags(spark, items) == whole
 
 
+def test_stuck_run_over_a_border_and_a_gap(spark, monkeypatch):
+    """Four readings of one value, ten days without any, four more of the same value: one run, wherever the series is cut."""
+    s = [x for x in series(60, 2) if not 20 <= x[2] < 30]
+    at = next(i for i, x in enumerate(s) if x[2] == 30)
+    for k in range(at - 4, at + 4):
+        s[k][4] = 111.0
+    items = [tuple(x) for x in s]
+    want = {k: ("stuck", None) for k in range(at - 4, at + 4)}
+    for n in (10**6, 100, 26):
+        monkeypatch.setattr(spikes, "PIECE_ROWS", n)
+        assert flags(spark, items) == want
+
+
+def test_groups_are_gathered_once():
+    """A group of many batches is joined once, so its gathering is linear; groups come out whole and in order."""
+    import pyarrow as pa
+
+    keys = np.repeat(np.arange(6), [3, 40_000, 1, 1, 9000, 2])
+    table = pa.table({"k": keys, "v": np.arange(keys.size)})
+    for rows in (1, 5000, 10**6):
+        blocks = list(spikes._groups(iter(table.to_batches(max_chunksize=700)), 1, rows))
+        assert np.array_equal(np.concatenate([b[1] for b in blocks]), np.arange(keys.size))
+        assert all(a[0][-1] != b[0][0] for a, b in zip(blocks, blocks[1:]))
+    assert len(list(spikes._groups(iter(table.to_batches(max_chunksize=700)), 1, 5000))) >= 3
+
+
+def test_rolling_scale_is_the_windows(spark):
+    x = np.random.default_rng(5).normal(size=200)
+    g = np.repeat([0, 1], [150, 50])
+    m, s = spikes.rolling_scale(g, x, 5)
+    for i in (0, 3, 100, 149, 150, 199):
+        w = np.array([x[j] for j in range(max(i - 5, 0), min(i + 6, 200)) if g[j] == g[i]])
+        assert m[i] == pytest.approx(np.median(w)) and s[i] == pytest.approx(1.4826 * np.median(np.abs(w - np.median(w))))
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_keys(spark, extra):
     t = rows(spark, BASE + [("x", "a", 0, 1.0, 2.0, 0.1)] * 30, extra)
