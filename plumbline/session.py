@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +38,36 @@ def shared_folder(spark: SparkSession) -> str:
     named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
+
+
+_FOLDERS: dict[str, object] = {}  # folders of this process, each with the Hadoop settings it was made under
+
+
+def _remove(jvm, path: str, settings: object) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(settings).delete(p, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for a table that cuts lineage. What is left is removed when the driver's process ends; drop() removes one earlier."""
+    base = shared_folder(spark).rstrip("/")
+    top = f"{base}/plumbline-{spark.sparkContext.applicationId}"
+    if not _FOLDERS:
+        atexit.register(_leave, spark._jvm)
+    _FOLDERS.setdefault(top, spark._jsc.hadoopConfiguration())
+    if base.startswith("file:///tmp/plumbline-"):
+        _FOLDERS.setdefault(base, spark._jsc.hadoopConfiguration())
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    _remove(spark._jvm, path, spark._jsc.hadoopConfiguration())
+
+
+def _leave(jvm) -> None:
+    for path, settings in _FOLDERS.items():
+        try:
+            _remove(jvm, path, settings)
+        except Exception:  # noqa: BLE001 - the gateway may be gone; files are all that is left behind
+            pass
+    _FOLDERS.clear()

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.operators import impute, spikes
@@ -16,6 +19,7 @@ from plumbline.operators.keyed import heavy_keys, key_totals
 from plumbline.operators.readings import readings
 from plumbline.operators.rolling import rolling_totals
 from plumbline.operators.spikes import implausible
+from plumbline.sources import rejects
 from plumbline.sources.rejects import accepted, parse_records, rejected
 
 SCHEMA = "obs_id long, day date, interval double, detid string, flow double, occ double, error double, city string, speed double, loaded_at timestamp_ntz"
@@ -124,10 +128,27 @@ def test_rejects(spark):
 
 
 def test_rejects_long_line(spark):
-    got = [r.reason for r in parse_records(raw_lines(spark, ["2023-05-17,1," + "a" * 300_000 + ",2,0.1,0,b,", "2023-05-17,1,a,2,0.1,0,b,"])).orderBy("line_id").collect()]
+    got = [r.reason for r in parse_records(raw_lines(spark, ["2023-05-17,1," + "a" * 20_000_000 + ",2,0.1,0,b,", "2023-05-17,1,a,2,0.1,0,b,"])).orderBy("line_id").collect()]
     assert got == [None, None]
 
 
+def test_rejects_of_many_files(spark):
+    t = spark.createDataFrame([(i, f"f{i % 700}.csv" if i % 3 else None, i, '2023-05-17,1,"a,2,0.1,0,b,' if i % 50 == 7 else f"2023-05-17,{i},a,2,0.1,0,b,") for i in range(3000)], "line_id long, file_name string, line_no int, line string").coalesce(1)
+    got = parse_records(t).collect()
+    assert len(got) == 3000 and all((r.reason == "quoting") == (r.line_id % 50 == 7) and (r.reason or r.interval == r.line_id) for r in got)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.from_regex(r"[ \t]{0,2}[+-]?([0-9]{1,4}(\.[0-9]{0,3})?|\.[0-9]{1,3})([eE][+-]?[0-9]{1,3})?[ \t]{0,2}", fullmatch=True) | st.text(alphabet="0123456789.eE+-_ \tinfax", min_size=1, max_size=8), st.booleans())
+def test_numbers_as_the_rule_says(number, quoted):
+    """A number is ASCII digits with optional sign, point and exponent, blanks around it; it must be finite."""
+    parser = rejects._Parser()
+    s = f'"{number}"' if quoted else number
+    got = parser.settle([None], [f"2023-05-17,1,a,{s},0.1,0,b,"]).to_pylist()[0]
+    right = re.fullmatch(r"[ \t]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*", number) is not None and math.isfinite(float(number))
+    assert got["reason"] == (None if right else "values") and (not right or got["flow"] == float(number))
+
+
 def day_shape(h):
     return 200 + 150 * np.sin((h - 6) / 24 * 2 * np.pi)
 
