@@ -55,13 +55,26 @@ def p9_shares_full(spark: SparkSession, d: str) -> DataFrame:
     return mixture(docs, table(spark, d, "mix_targets"), total="corpus")[1]
 
 
+def p9_mixture_full(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of that mixture."""
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), total="corpus")[0]
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """What the report says of the sources themselves."""
+    return p9_shares(spark, d).select("source", "target_share", "max_repeats", "n_docs")
+
+
 def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"), table(spark, d, "doc_cells"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_sentences(spark, d).select("doc_id", "sent_start", "sent_end")
+    return sentences(table(spark, d, "documents"), table(spark, d, "doc_cells"), with_text=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_sketches, p8_ids, p9_mixture, p9_shares, p9_shares_full, p10_found, p10_sentences)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_sketches, p8_ids, p9_mixture, p9_shares, p9_shares_full, p9_mixture_full, p9_sources, p10_found, p10_sentences)}
+SQL: dict[str, str] = {
+    "p9_sources": """select t.source, t.target_share, t.max_repeats, count(d.doc_id) as n_docs from (select source, sum(target_share) as target_share, max(max_repeats) as max_repeats from mix_targets where source is not null group by source) t
+  left join documents d on d.source = t.source and d.text <> '' group by all""",
+}
