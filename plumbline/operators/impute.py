@@ -2,22 +2,23 @@
 
 Model. For a reading of detector d (city and detid), x = ln(flow + 5) - a_d and y = ln(occ + 0.005) - b_d, a_d and b_d being the detector's means.
 Given a hidden class k of K, (x, y) is Gaussian with mean m_k and covariance S_k, the hour of the day and weekday/weekend
-are categorical, and so is the detector: its classes have weights w_d(k), drawn towards the common weights.
+are categorical, and so is the detector: its classes have weights w_d(k), drawn towards the common weights. Given the detector, its days and two habits are categorical as well: how its times
+fall on whole minutes (ALIGNED), and by what its counts, written as vehicles per hour, can be divided (PARTS).
 
 Fitting. All rows are reduced once to cells: detector, hour, weekend, and narrow bins of flow and occ (a bin for "missing" too), with
 counts and sums. A detector's cells form one row of a table in the shared folder, bounded by the number of bins however many rows the detector
 has. Each EM step is one job over that table: its tasks find w_d of their detectors and return the expected
-sufficient statistics of the classes, a fixed number of sums; only those reach the driver.
+sufficient statistics of the classes and the log-likelihood, a fixed number of sums; only those reach the driver, which stops once the likelihood hardly rises any more. The categories given the detector
+need no steps: they are counts, added up by detector and day.
 
-Filling. Missing detid: the detector of the city with the greatest posterior probability (the mode) given the row's own hour,
-weekday/weekend, flow and occ. Missing flow and occ: conditional expectation given the detector, the hour, weekday/weekend and the other measurement.
+Filling. Missing detid: the detector of the city with the greatest posterior probability (the mode) among those with readings on the row's day, given its own hour,
+weekday/weekend, flow, occ and habits. Missing flow and occ: conditional expectation given the detector, the hour, weekday/weekend and the other measurement.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,15 +28,21 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import has_number, has_word
 from plumbline.operators.readings import DAY_S
-from plumbline.session import shared_folder
+from plumbline.session import drop, scratch
 
 FLOW_OFF, OCC_OFF = 5.0, 0.005
 FLOW_BIN, OCC_BIN = 1 / 6, 1 / 4  # widths of the cells' bins, in logarithms
 FLOW_MAX, OCC_MAX = 12_000.0, 1.0  # beyond: not used for fitting
 HOURS = 24
 CELLS_AT_ONCE = 60_000
-SEARCH_TASKS = 16  # of a city, for the missing detectors
+#: Of the search for missing detectors: rows asked for in a group, and detectors it holds (more, if else over HEAVY cities would have to be parted).
+ASKED, HELD, HEAVY = 20_000, 5_000, 1_000
 SCORES_AT_ONCE = 2_000_000
+NO_DAY = -(1 << 30)
+# Categories of a detector's habits: seconds its times are whole multiples of, and numbers its flows are. The first that fits counts.
+ALIGNED = (1800, 300, 60, 1)
+PARTS = (60.0, 30.0, 20.0, 15.0, 12.0, 10.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0, 0.5)
+HABIT = 0.1  # readings' worth of every category in a detector's own
 NONE = -1000.0  # no x or y among the keys of that search
 PRIOR = 20.0  # readings' worth of the common weights in a detector's own
 
@@ -51,6 +58,8 @@ class Mixture:
     cov: np.ndarray  # K x 2 x 2
     a: float = 0.0  # means over all detectors, for those without known values
     b: float = 0.0
+    likelihood: list[float] = field(default_factory=list)  # mean log-likelihood of a reading, before each step
+    converged: bool = False
 
     @classmethod
     def start(cls, k: int, spread: np.ndarray) -> Mixture:
@@ -101,7 +110,7 @@ class Mixture:
         cov = np.empty((k, 2, 2))
         cov[:, 0, 0], cov[:, 1, 1] = np.maximum(sxx / n - mx**2, 0) + least[0], np.maximum(syy / n - my**2, 0) + least[1]
         cov[:, 0, 1] = cov[:, 1, 0] = np.clip(sxy / n - mx * my, -1, 1) * 0.999
-        return Mixture(n / n.sum(), hour / hour.sum(1, keepdims=True), weekend / weekend.sum(1, keepdims=True), np.stack([mx, my], 1), cov, self.a, self.b)
+        return Mixture(n / n.sum(), hour / hour.sum(1, keepdims=True), weekend / weekend.sum(1, keepdims=True), np.stack([mx, my], 1), cov, self.a, self.b, self.likelihood)
 
 
 def _softmax(logs: np.ndarray) -> np.ndarray:
@@ -144,11 +153,16 @@ def _unpack(batch: pa.RecordBatch, a0: float, b0: float) -> Iterator[tuple[int,
 def _expect(m: Mixture, turns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = m.weight.size
-        total = np.zeros((k, 8 + HOURS))
+        total, likelihood, count = np.zeros((k, 8 + HOURS)), 0.0, 0.0
         for batch in batches:
             for start, stop, own, c, _, _ in _unpack(batch, m.a, m.b):
                 n, x, y = c["n"].astype(float), c["x"], c["y"]
-                _, r = _detector_weights(m, own, stop - start, n, m.log_density(c["hour"], c["weekend"], x, y), turns)
+                logs = m.log_density(c["hour"], c["weekend"], x, y)
+                w, r = _detector_weights(m, own, stop - start, n, logs, turns)
+                logs += np.log(w + 1e-12)[own]
+                top = logs.max(1)
+                likelihood += float(n @ (top + np.log(np.exp(logs - top[:, None]).sum(1))))
+                count += float(n.sum())
                 r *= n[:, None]
                 ex, ey, vx, vy, vxy = m.conditional(x, y)
                 total[:, 0] += r.sum(0)
@@ -156,7 +170,8 @@ def _expect(m: Mixture, turns: int):
                     total[j, 1 : 1 + HOURS] += np.bincount(np.maximum(c["hour"], 0), r[:, j] * (c["hour"] >= 0), HOURS)
                     total[j, 1 + HOURS : 3 + HOURS] += np.bincount(np.maximum(c["weekend"], 0), r[:, j] * (c["weekend"] >= 0), 2)
                 total[:, 3 + HOURS :] += np.stack([(r * ex).sum(0), (r * ey).sum(0), (r * (ex**2 + vx)).sum(0), (r * (ey**2 + vy)).sum(0), (r * (ex * ey + vxy)).sum(0)], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "v"])
+        sums = np.r_[total.ravel(), likelihood, count]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums)], names=["i", "v"])
 
     return run
 
@@ -178,46 +193,92 @@ def _weigh(m: Mixture, turns: int):
 
 
 def _variables(raw: DataFrame) -> dict[str, Column]:
-    """hour and weekend (-1: unknown), x and y before centring (null: not usable for the model)."""
+    """hour, weekend, align, part (-1: unknown), day_no (NO_DAY: unknown), x and y before centring (null: not usable for the model)."""
     known = F.col("day").isNotNull() & has_number(F.col("interval"), ())
     over = F.floor(F.col("interval") / DAY_S)
-    hour = F.floor((F.col("interval") - over * DAY_S) / 3600).cast("int")
-    weekday = F.pmod(F.unix_date(F.col("day").cast("date")) + over + 3, F.lit(7))
+    sec = F.col("interval") - over * DAY_S
+    day_no = (F.unix_date(F.col("day").cast("date")) + over).cast("int")
     good = lambda c, most: has_number(F.col(c)) & (F.col(c) >= 0) & (F.col(c) <= most)
+
+    def first(c: Column, parts: tuple[float, ...]) -> Column:
+        out = F.lit(len(parts))
+        for i in reversed(range(len(parts))):
+            out = F.when(F.pmod(c, F.lit(float(parts[i]))) == 0, F.lit(i)).otherwise(out)
+        return out
+
     return {
-        "hour": F.when(known, hour).otherwise(F.lit(-1)),
-        "weekend": F.when(known, (weekday >= 5).cast("int")).otherwise(F.lit(-1)),
+        "hour": F.when(known, F.floor(sec / 3600).cast("int")).otherwise(F.lit(-1)),
+        "weekend": F.when(known, (F.pmod(day_no + 3, F.lit(7)) >= 5).cast("int")).otherwise(F.lit(-1)),
+        "day_no": F.when(known, day_no).otherwise(F.lit(NO_DAY)),
+        "align": F.when(known, first(sec, ALIGNED)).otherwise(F.lit(-1)),
+        "part": F.when(good("flow", FLOW_MAX) & (F.col("flow") > 0), first(F.col("flow"), PARTS)).otherwise(F.lit(-1)),
         "x": F.when(good("flow", FLOW_MAX), F.log(F.col("flow") + FLOW_OFF)),
         "y": F.when(good("occ", OCC_MAX), F.log(F.col("occ") + OCC_OFF)),
     }
 
 
-def fit(raw: DataFrame, classes: int = 12, steps: int = 8, turns: int = 3) -> tuple[Mixture, DataFrame]:
-    """The classes, and the table (city, detid, n, a, b, w) of the detectors, written to the shared folder."""
+@dataclass
+class Fitted:
+    """mixture; detectors: city, detid, n, a, b, w; days: city, day_no, detid, n_day, n, a, b, w, align, part, the last two log probabilities of the detector's habits;
+    parts: for cities with very many rows to name or detectors, into how many parts either is to be cut."""
+
+    mixture: Mixture
+    detectors: DataFrame
+    days: DataFrame
+    parts: dict[str, tuple[int, int]]
+
+
+def fit(raw: DataFrame, classes: int = 12, steps: int = 60, turns: int = 3, rise: float = 1e-3) -> Fitted:
+    """The classes, fitted until a step raises the mean log-likelihood of a reading by less than a share `rise` of it (or after `steps`, which leaves converged False), and the tables of the detectors, in the shared folder."""
     spark = raw.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/impute-{uuid.uuid4().hex}"
+    folder = scratch(spark, "impute")
     v = _variables(raw)
-    rows = raw.where(F.col("city").isNotNull() & has_word(F.col("detid"))).select("city", "detid", *(c.alias(k) for k, c in v.items()))
+    named = F.when(has_word(F.col("detid")), F.col("detid")).alias("detid")
+    rows = raw.where("city is not null").select("city", named, *(c.alias(k) for k, c in v.items()))
     fb, ob = F.floor(F.col("x") / FLOW_BIN).cast("int"), F.floor(F.col("y") / OCC_BIN).cast("int")
     cells = rows.groupBy("city", "detid", F.col("hour").cast("byte").alias("hour"), F.col("weekend").cast("byte").alias("weekend"), fb.cast("short").alias("fb"), ob.cast("short").alias("ob")).agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
     nan = F.lit(float("nan"))
     cell = F.struct(F.col("hour").cast("int").alias("hour"), F.col("weekend").cast("int").alias("weekend"), "n", F.coalesce("sx", nan).alias("sx"), F.coalesce("sy", nan).alias("sy"))
     mean = lambda s: F.sum(s) / F.sum(F.when(F.col(s).isNotNull(), F.col("n")))
-    cells.groupBy("city", "detid").agg(mean("sx").alias("a"), mean("sy").alias("b"), F.collect_list(cell).alias("cells")).write.parquet(f"{folder}/cells")
-    packed = spark.read.parquet(f"{folder}/cells")
+    cells.groupBy("city", "detid").agg(F.sum("n").alias("n"), mean("sx").alias("a"), mean("sy").alias("b"), F.collect_list(cell).alias("cells")).write.parquet(f"{folder}/cells")
+    every = spark.read.parquet(f"{folder}/cells")
+    packed = every.where("detid is not null")
     held = packed.agg(F.avg("a"), F.avg("b")).first()
     m = Mixture.start(classes, np.array([1.0, 0.6]))
     m.a, m.b = (float(x) if x is not None else 0.0 for x in held)
     for _ in range(steps):
         got = packed.mapInArrow(_expect(m, turns), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        stats = np.zeros(classes * (8 + HOURS))
+        stats = np.zeros(classes * (8 + HOURS) + 2)
         for r in got:
             stats[r.i] = r.v
-        if stats.sum() <= 0:
+        if stats[-1] <= 0:
+            break
+        m.likelihood.append(float(stats[-2] / stats[-1]))
+        if len(m.likelihood) > 1 and m.likelihood[-1] - m.likelihood[-2] < rise * abs(m.likelihood[-1]):
+            m.converged = True
             break
-        m = m.updated(stats)
+        m = m.updated(stats[:-2])
     packed.mapInArrow(_weigh(m, 2 * turns), "city string, detid string, n long, a double, b double, w array<double>").write.parquet(f"{folder}/detectors")
-    return m, spark.read.parquet(f"{folder}/detectors")
+    detectors = spark.read.parquet(f"{folder}/detectors")
+
+    # Detectors by day, with counts of their habits; a row for each habit's category would be many times as many.
+    habits = {"align": len(ALIGNED) + 1, "part": len(PARTS) + 1}
+    counts = {f"{h}_{i}": F.count_if(F.col(h) == i) for h, n in habits.items() for i in range(n)}
+    rows.where("detid is not null").groupBy("city", "detid", "day_no").agg(F.count("*").alias("n_day"), *(c.alias(k) for k, c in counts.items())).write.parquet(f"{folder}/days")
+    by_day = spark.read.parquet(f"{folder}/days")
+    total = by_day.groupBy("city", "detid").agg(*(F.array(*(F.sum(f"{h}_{i}") for i in range(n))).alias(h) for h, n in habits.items()))
+    share = lambda h: F.transform(h, lambda c: F.log((c + HABIT) / (F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s + x) + HABIT * habits[h]))).alias(h)
+    whole = detectors.join(total.select("city", "detid", *(share(h) for h in habits)), ["city", "detid"])
+    undated = detectors.select("city", "detid", F.lit(NO_DAY).alias("day_no"), F.col("n").alias("n_day"))  # for rows without a day: all of its readings
+    days = by_day.where(F.col("day_no") != NO_DAY).select("city", "detid", "day_no", "n_day").unionByName(undated).join(whole, ["city", "detid"])
+
+    cities = every.groupBy("city").agg(F.sum(F.when(F.col("detid").isNull(), F.col("n"))).alias("asked"), F.count("detid").alias("held"))
+    sums = cities.agg(F.sum("asked"), F.sum("held")).first()
+    most_asked, most_held = max(ASKED, (sums[0] or 0) // HEAVY), max(HELD, (sums[1] or 0) // HEAVY)
+    heavy = cities.where((F.col("asked") > most_asked) | (F.col("held") > most_held)).collect()  # 2 * HEAVY at most
+    parts = {r.city: (1 + (r.asked or 0) // most_asked, 1 + r.held // most_held) for r in heavy}
+    drop(spark, f"{folder}/cells")
+    return Fitted(m, detectors, days, parts)
 
 
 def _scores(m: Mixture, a: np.ndarray, b: np.ndarray, x: bool, y: bool) -> np.ndarray:
@@ -236,17 +297,23 @@ def _scores(m: Mixture, a: np.ndarray, b: np.ndarray, x: bool, y: bool) -> np.nd
     return np.stack([c.ravel() for c in parts])
 
 
+ASKED_BY = ("city", "day_no", "hour", "weekend", "align", "part", "x", "y")
+
+
 def _modes(m: Mixture):
-    """The likeliest detector of each row asked for, among the detectors of its city."""
+    """The likeliest detector of each row asked for, among those of its city with readings on its day, and how likely it is."""
 
     def run(key: tuple, asked: pd.DataFrame, dets: pd.DataFrame) -> pd.DataFrame:
-        out = asked[["city", "hour", "weekend", "x", "y"]].copy()
-        best = np.full(len(asked), None, object)
+        out = asked[list(ASKED_BY)].copy()
+        best, score = np.full(len(asked), None, object), np.full(len(asked), -np.inf)
         if len(asked) and len(dets):
             dets = dets.sort_values("detid")
             k, names = m.weight.size, dets["detid"].to_numpy(object)
-            prior = np.log(np.stack(dets["w"].to_numpy()) + 1e-12) + np.log(dets["n"].to_numpy(float))[:, None]
+            prior = np.log(np.stack(dets["w"].to_numpy()) + 1e-12) + np.log(dets["n_day"].to_numpy(float))[:, None]
+            # One column for each category, and one of zeros for an unknown one (-1).
+            habits = {h: np.c_[np.stack(dets[h].to_numpy()), np.zeros(len(dets))] for h in ("align", "part")}
             hour, weekend = asked["hour"].to_numpy(int), asked["weekend"].to_numpy(int)
+            align, part = asked["align"].to_numpy(int), asked["part"].to_numpy(int)
             x, y = asked["x"].to_numpy(float), asked["y"].to_numpy(float)
             calendar = m.log_density(hour, weekend, np.full(x.size, np.nan), np.full(x.size, np.nan))
             has_x, has_y = x != NONE, y != NONE
@@ -262,9 +329,12 @@ def _modes(m: Mixture):
                     u, v = np.where(px, x[r], 0.0), np.where(py, y[r], 0.0)
                     logs = (np.stack([np.ones(r.size), u, v, u * u, u * v, v * v], 1) @ c).reshape(r.size, -1, k)
                     logs += calendar[r][:, None, :]
-                    logs -= logs.max((1, 2), keepdims=True)
-                    best[r] = names[np.exp(logs, out=logs).sum(2).argmax(1)]
-        out["guess"] = best
+                    top = logs.max(2)
+                    logs -= top[:, :, None]
+                    own = top + np.log(np.exp(logs, out=logs).sum(2)) + habits["align"].T[align[r]] + habits["part"].T[part[r]]
+                    j = own.argmax(1)
+                    best[r], score[r] = names[j], own[np.arange(r.size), j]
+        out["guess"], out["score"] = best, score
         return out
 
     return run
@@ -285,44 +355,81 @@ def _filler(m: Mixture):
     return fill
 
 
-def filled(raw: DataFrame, classes: int = 12, steps: int = 8) -> DataFrame:
-    """All rows and columns of readings, with flow, occ and detid filled where they have no usable value, and with flow_filled, occ_filled
-    and detid_filled marking the filled cells.
+FIELDS = ("flow", "occ", "detid")
+
+
+def filled(raw: DataFrame, classes: int = 12, steps: int = 60) -> DataFrame:
+    """All rows and columns of readings, with flow, occ and detid filled where they have no usable value. flow_filled, occ_filled
+    and detid_filled mark the cells that hold a filled value; unfilled (array<string>) names those that still have none.
 
     No usable value: null, not finite, blank, or a code or word for "no value". Impossible but genuine numbers stay as they are. Fitting and filling happen in
-    Spark jobs; complete rows take part in no join. The search for a missing detid scores each row with its own values against all
-    detectors of its city; equal rows count once, and a city's rows are spread over SEARCH_TASKS tasks.
+    Spark jobs; complete rows take part in no join. The search for a missing detid scores each row with its own values against the detectors of its
+    city that have readings on its day; equal rows count once. Groups are (city, day), and cities with more rows to name or more detectors than a group should hold are parted further.
 
-    Rows without city: filled from the classes alone, detid stays null but marked. Rows without day or interval: the hour is integrated
-    out. Cities without any known detector: detid stays null but marked. Columns flow_filled, occ_filled and detid_filled
+    Rows without city: flow and occ filled from the classes alone, detid stays null. Rows without day or interval: hour and day are integrated
+    out. Cities without any known detector (on that day: rows of another day are no candidates): detid stays null. Columns flow_filled, occ_filled, detid_filled and unfilled
     of the input are replaced. Empty input: empty output.
     """
-    m, detectors = fit(raw, classes, steps)
-    marks = {f"{c}_filled": ~(has_word if c == "detid" else has_number)(F.col(c)) for c in ("flow", "occ", "detid")}
-    marked = raw.withColumns(marks)
-    lacking = F.col("flow_filled") | F.col("occ_filled") | F.col("detid_filled")
-    whole = marked.where(~lacking)
+    got = fit(raw, classes, steps)
+    m, detectors = got.mixture, got.detectors
+    lacks = {f"__no_{c}": ~(has_word if c == "detid" else has_number)(F.col(c)) for c in FIELDS}
+    marked = raw.drop("unfilled").withColumns(lacks)
+    lacking = F.col("__no_flow") | F.col("__no_occ") | F.col("__no_detid")
+    none = F.array().cast("array<string>")
+    whole = marked.where(~lacking).withColumns({**{f"{c}_filled": F.lit(False) for c in FIELDS}, "unfilled": none}).drop(*lacks)
     v = {f"__{k}": c for k, c in _variables(raw).items()}
     part = marked.where(lacking).withColumns(v)
 
-    own = {"hour": F.col("__hour"), "weekend": F.col("__weekend"), **{c: F.coalesce(f"__{c}", F.lit(NONE)) for c in ("x", "y")}}
-    nameless = part.where("detid_filled").withColumns({f"__key_{k}": c for k, c in own.items()})
-    salt = F.pmod(F.xxhash64(*own), F.lit(SEARCH_TASKS)).cast("int")
-    asked = nameless.where("city is not null").select("city", *(F.col(f"__key_{k}").alias(k) for k in own)).distinct().withColumn("salt", salt)
-    copies = detectors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SEARCH_TASKS - 1))))
-    guesses = asked.groupBy("city", "salt").cogroup(copies.groupBy("city", "salt")).applyInPandas(_modes(m), "city string, hour int, weekend int, x double, y double, guess string").withColumnRenamed("guess", "__guess")
+    own = {k: F.coalesce(f"__{k}", F.lit(NONE)) if k in "xy" else F.col(f"__{k}") for k in ASKED_BY[1:]}
+    nameless = part.where("__no_detid").withColumns({f"__key_{k}": c for k, c in own.items()})
+    cut = F.create_map(*(x for c, (s, b) in got.parts.items() for x in (F.lit(c), F.array(F.lit(s), F.lit(b))))) if got.parts else None
+    parts = lambda i: F.lit(1) if cut is None else F.coalesce(F.get(F.try_element_at(cut, F.col("city")), F.lit(i)), F.lit(1))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = nameless.where("city is not null").select("city", *(F.col(f"__key_{k}").alias(k) for k in own)).distinct()
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64(*ASKED_BY), parts(0)).cast("int")).withColumn("block", upto(parts(1)))
+    held = got.days.withColumn("block", F.pmod(F.xxhash64("detid"), parts(1)).cast("int")).withColumn("salt", upto(parts(0)))
+    group = ("city", "day_no", "salt", "block")
+    kinds = "city string, day_no int, hour int, weekend int, align int, part int, x double, y double, guess string, score double"
+    scored = asked.groupBy(*group).cogroup(held.groupBy(*group)).applyInPandas(_modes(m), kinds)
+    guesses = scored.groupBy(*ASKED_BY).agg(F.min(F.struct((-F.col("score")).alias("s"), "guess")).alias("best")).select(*ASKED_BY, F.col("best.guess").alias("__guess"))
     same = [F.col("q.city") == F.col("p.city"), *(F.col(f"q.{k}") == F.col(f"p.__key_{k}") for k in own)]
     named = nameless.alias("p").join(guesses.alias("q"), same, "left").select("p.*", "q.__guess").withColumn("detid", F.col("__guess")).drop("__guess", *(f"__key_{k}" for k in own))
-    ready = part.where("not detid_filled").unionByName(named)
+    ready = part.where("not __no_detid").unionByName(named)
 
     known = detectors.select(F.col("city").alias("__city"), F.col("detid").alias("__detid"), F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("w").alias("__w"))
     met = ready.join(known, (F.col("city") == F.col("__city")) & (F.col("detid") == F.col("__detid")), "left")
-    got = met.withColumn("__got", _filler(m)(*(F.col(f"__{c}") for c in ("hour", "weekend", "x", "y", "a", "b", "w"))))
-    done = got.withColumns({c: F.when(F.col(f"{c}_filled"), F.col(f"__got.{c}")).otherwise(F.col(c)) for c in ("flow", "occ")})
-    return whole.unionByName(done.select(*whole.columns))
+    done = met.withColumn("__got", _filler(m)(*(F.col(f"__{c}") for c in ("hour", "weekend", "x", "y", "a", "b", "w"))))
+    done = done.withColumns({c: F.when(F.col(f"__no_{c}"), F.col(f"__got.{c}")).otherwise(F.col(c)) for c in ("flow", "occ")})
+    marks = {f"{c}_filled": F.col(f"__no_{c}") & F.col(c).isNotNull() for c in FIELDS}
+    left = F.array_compact(F.array(*(F.when(F.col(f"__no_{c}") & F.col(c).isNull(), F.lit(c)) for c in FIELDS)))
+    return whole.unionByName(done.withColumns({**marks, "unfilled": left}).select(*whole.columns))
 
 
 def unusable(rows: DataFrame) -> DataFrame:
-    """(obs_id, field) of each filled cell."""
-    cells = F.array_compact(F.array(*(F.when(F.col(f"{c}_filled"), F.lit(c)) for c in ("flow", "occ", "detid"))))
+    """(obs_id, field) of each cell that had no usable value, filled or not."""
+    cells = F.concat(F.array_compact(F.array(*(F.when(F.col(f"{c}_filled"), F.lit(c)) for c in FIELDS))), F.col("unfilled"))
     return rows.select("obs_id", F.explode(cells).alias("field"))
+
+
+def held_out(raw: DataFrame, every: int = 25, classes: int = 12, steps: int = 60) -> DataFrame:
+    """How well cells are filled whose values are known: (field, n, error, plain_error), over all rows.
+
+    One usable cell in `every`, by a hash of obs_id, is taken away before the fill. flow, occ: median of the absolute difference of logarithms (of flow + 5, occ + 0.005), and that of the city's
+    median value. detid: share of wrong names, and that of the city's most frequent name.
+    """
+    h = F.pmod(F.xxhash64("obs_id"), F.lit(every))
+    usable = {c: (has_word if c == "detid" else has_number)(F.col(c)) for c in FIELDS}
+    taken = {c: (h == i) & usable[c] & F.col("city").isNotNull() for i, c in enumerate(FIELDS)}
+    truth = {f"__true_{c}": F.when(taken[c], F.col(c)) for c in FIELDS}
+    got = filled(raw.withColumns(truth).withColumns({c: F.when(~F.coalesce(h == i, F.lit(False)), F.col(c)) for i, c in enumerate(FIELDS)}), classes, steps)
+    off = {"flow": FLOW_OFF, "occ": OCC_OFF}
+    plain = raw.where("city is not null").groupBy("city").agg(*(F.percentile_approx(F.when(usable[c] & ~taken[c], F.col(c)), 0.5).alias(f"__plain_{c}") for c in off))
+    # The most frequent name by counts, so that no city's names come together row by row.
+    names = raw.where(usable["detid"] & ~taken["detid"] & F.col("city").isNotNull()).groupBy("city", "detid").agg(F.count("*").alias("n")).groupBy("city").agg(F.max_by("detid", F.struct("n", "detid")).alias("__plain_detid"))
+    met = got.where(F.coalesce(*(F.col(c).cast("string") for c in truth)).isNotNull()).join(plain, "city").join(names, "city", "left")
+    log = lambda c, f: F.log(F.greatest(c, F.lit(0.0)) + off[f])
+    gap = lambda a, f: F.when(F.col(f"__true_{f}") >= 0, F.abs(log(F.col(a), f) - log(F.col(f"__true_{f}"), f)))
+    wrong = lambda a: F.when(F.col("__true_detid").isNotNull(), (~F.col(a).eqNullSafe(F.col("__true_detid"))).cast("double"))
+    sides = {**{f: (gap(f, f), gap(f"__plain_{f}", f), lambda c: F.percentile_approx(c, 0.5)) for f in off}, "detid": (wrong("detid"), wrong("__plain_detid"), F.avg)}
+    one = met.agg(*(F.struct(F.lit(f).alias("field"), F.count(a).alias("n"), agg(a).alias("error"), agg(b).alias("plain_error")).alias(f) for f, (a, b, agg) in sides.items()))
+    return one.select(F.inline(F.array(*sides)))

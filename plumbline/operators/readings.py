@@ -7,7 +7,7 @@ the day moves to the next one, a negative one to the day before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import has_number, has_word, number_or_null
@@ -55,10 +55,6 @@ def spans(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.min(s).alias("first_s"), F.max(s).alias("last_s"))
 
 
-def day_key(day_no: str) -> Column:
+def day_key(day_no: str | Column) -> Column:
     d = F.date_from_unix_date(day_no)
     return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
-
-
-def day_window() -> Window:
-    return Window.partitionBy(*KEY, "day_no")

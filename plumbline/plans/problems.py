@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.values import NO_VALUE_CODES, NO_VALUE_WORDS
 from plumbline.operators.grid import regular_grid
-from plumbline.operators.impute import filled, unusable
+from plumbline.operators.impute import filled, held_out, unusable
 from plumbline.operators.keyed import heavy_keys, key_totals
 from plumbline.operators.rolling import rolling_totals
 from plumbline.operators.spikes import implausible
@@ -18,6 +18,7 @@ from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLACES = 4
+WIDE = 2000
 
 
 def settled(c: Column) -> Column:
@@ -41,6 +42,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return unusable(p1_filled(spark, d))
 
 
+def p1_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How far filled cells are from values that were taken away."""
+    return held_out(table(spark, d, "utd19_u"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_grid_raw(spark, d).where("n_readings = 0").select("city", "detid", "day_key", "slot")
 
@@ -53,6 +59,11 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     return settle_all(p3_grid_raw(spark, d))
 
 
+def p3_grid_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The last observation carried over up to WIDE steps, which is more than a day has."""
+    return settle_all(regular_grid(table(spark, d, "utd19_u"), table(spark, d, "utd19_detectors"), max_gap=WIDE))
+
+
 def p4_rolling_raw(spark: SparkSession, d: str) -> DataFrame:
     return rolling_totals(table(spark, d, "utd19_u"))
 
@@ -89,7 +100,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     return settle_all(key_totals(table(spark, d, "utd19_u")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_filled, p3_found, p3_grid, p4_found, p4_rolling, p5_found, p5_readings, p6_found, p6_flags, p7_found, p7_totals)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_filled, p1_held_out, p3_found, p3_grid, p3_grid_wide, p4_found, p4_rolling, p5_found, p5_readings, p6_found, p6_flags, p7_found, p7_totals)}
 
 # --- the same as SQL ---
 
@@ -155,12 +166,19 @@ c as (select line_id, s, regexp_full_match(s, '{SOUND_QUOTES}') as quotes, lengt
 r as (select line_id, case when not quotes then 'quoting' when n <> 8 then 'columns'
     when not (regexp_full_match(f[1], '{DATE}') and try_cast(f[1] as date) is not null and {_num('f[2]', '0')} and (f[4] = '' or {_num('f[4]', "'-infinity'::double")}) and (f[5] = '' or {_num('f[5]', "'-infinity'::double")})) then 'values' end as reason from c)"""
 
+
+
+def _grid(max_gap: int) -> str:
+    return f"""with {_READ}, {_GRID} select city, detid, {_KEY(_DATE('(pos // n_slots)'))} as day_key, (pos % n_slots)::int as slot, coalesce(n, 0)::bigint as n_readings,
+  {_round(f'case when v is not null then v when pos - last_pos <= {max_gap} then last_v end')} as flow,
+  case when v is not null then 'observed' when pos - last_pos <= {max_gap} then 'carried' else 'missing' end as state from held"""
+
+
 SQL: dict[str, str] = {
     "p1_found": f"select obs_id, 'flow' as field from utd19_u where not {_ok('flow')} union all select obs_id, 'occ' from utd19_u where not {_ok('occ')} union all select obs_id, 'detid' from utd19_u where not {_WORD}",
     "p3_found": f"with {_READ}, {_GRID} select city, detid, {_KEY(_DATE('(pos // n_slots)'))} as day_key, (pos % n_slots)::int as slot from held where n is null",
-    "p3_grid": f"""with {_READ}, {_GRID} select city, detid, {_KEY(_DATE('(pos // n_slots)'))} as day_key, (pos % n_slots)::int as slot, coalesce(n, 0)::bigint as n_readings,
-  {_round('case when v is not null then v when pos - last_pos <= 3 then last_v end')} as flow,
-  case when v is not null then 'observed' when pos - last_pos <= 3 then 'carried' else 'missing' end as state from held""",
+    "p3_grid": _grid(3),
+    "p3_grid_wide": _grid(WIDE),
     "p4_found": f"""with {_READ}, days as (select distinct city, detid, day_no from latest),
 calendar as (select city, detid, unnest(range(min(day_no), max(day_no) + 1))::int as day_no from days group by city, detid)
 select city, detid, {_KEY(_DATE('day_no'))} as day_key from calendar anti join days using (city, detid, day_no)""",

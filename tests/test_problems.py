@@ -69,6 +69,15 @@ def test_grid_carries_over_midnight(spark):
     assert got == {(20230301, 23): "observed", (20230302, 0): "carried", (20230302, 1): "carried", (20230302, 2): "missing", (20230302, 3): "missing", (20230302, 4): "missing", (20230302, 5): "observed"}
 
 
+def test_grid_carries_over_days(spark):
+    """Steps of a day: the gap reaches over days without a reading, and over a reading without a value."""
+    t = rows(spark, [("x", "a", 0, 5.0, 4.0, 0.1), ("x", "a", 3, 5.0, None, 0.1), ("x", "a", 4, 5.0, 6.0, 0.1)])
+    got = {r.day_key: (r.state, r.flow) for r in regular_grid(t, steps(spark, ("x", "a", 86400, 1, None, None), ("x", "b", 7200, 1, None, None)), max_gap=3).collect()}
+    assert got == {20230301: ("observed", 4.0), 20230302: ("carried", 4.0), 20230303: ("carried", 4.0), 20230304: ("carried", 4.0), 20230305: ("observed", 6.0)}
+    got = {r.day_key: r.state for r in regular_grid(t, steps(spark, ("x", "a", 86400, 1, None, None)), max_gap=1).collect()}
+    assert got == {20230301: "observed", 20230302: "carried", 20230303: "missing", 20230304: "missing", 20230305: "observed"}
+
+
 def test_empty(spark):
     t = rows(spark, BASE).limit(0)
     assert regular_grid(t, steps(spark)).count() == rolling_totals(t).count() == implausible(t).count() == key_totals(t).count() == heavy_keys(t).count() == readings(t, "flow").count() == filled(t).count() == 0
@@ -293,29 +302,55 @@ def test_fill_accuracy_and_marks(spark, data):
     got.unpersist()
 
 
-def test_missing_detector_is_the_mode_of_its_row(spark, data, monkeypatch):
-    """The posterior of each nameless row by itself, with its own hour, weekend, flow and occ."""
+@pytest.mark.parametrize("parted", [False, True])
+def test_missing_detector_is_the_mode_of_its_row(spark, data, monkeypatch, parted):
+    """The posterior of each nameless row by itself, with its own day, hour, weekend, flow, occ and habits; the same if cities are parted."""
     raw = spark.read.parquet(f"{data}/utd19_u.parquet").where("city is not null")
     raw = raw.withColumn("detid", F.when(F.pmod(F.xxhash64("obs_id"), F.lit(20)) > 0, F.col("detid")))
-    m, dets = impute.fit(raw, steps=4)
-    monkeypatch.setattr(impute, "fit", lambda *_: (m, dets))
+    fitted = impute.fit(raw, steps=4)
+    m = fitted.mixture
+    if parted:
+        fitted.parts = {r.city: (3, 2) for r in raw.select("city").distinct().collect()}
+    monkeypatch.setattr(impute, "fit", lambda *_: fitted)
     got = filled(raw).where("detid_filled").select("obs_id", F.col("detid").alias("guess"))
     asked = raw.withColumns({f"_{k}": c for k, c in impute._variables(raw).items()}).join(got, "obs_id").toPandas()
-    by = {c: p.sort_values("detid").reset_index(drop=True) for c, p in dets.toPandas().groupby("city")}
+    by = {k: p.sort_values("detid").reset_index(drop=True) for k, p in fitted.days.toPandas().groupby(["city", "day_no"])}
     same = []
     for r in asked.itertuples(index=False):
         r = dict(zip(asked.columns, r))
-        d = by[r["city"]]
+        d = by[(r["city"], r["_day_no"])]
         one = np.ones(len(d))
         logs = m.log_density((one * r["_hour"]).astype(int), (one * r["_weekend"]).astype(int), one * r["_x"] - d.a.to_numpy(), one * r["_y"] - d.b.to_numpy())
-        p = (np.exp(logs) * (np.stack(d.w) + 1e-12)).sum(1) * d.n.to_numpy()
+        p = np.log((np.exp(logs) * (np.stack(d.w) + 1e-12)).sum(1)) + np.log(d.n_day.to_numpy(float))
+        p += sum(np.stack(d[h])[:, r[f"_{h}"]] for h in ("align", "part") if r[f"_{h}"] >= 0)
         same.append(r["guess"] == d.detid[int(p.argmax())])
     assert len(same) > 100 and all(same)
 
 
+def test_fit_stops_by_likelihood(spark, data):
+    raw = spark.read.parquet(f"{data}/utd19_u.parquet")
+    m = impute.fit(raw).mixture
+    rises = np.diff(m.likelihood)
+    least = 1e-3 * np.abs(m.likelihood[1:])
+    assert m.converged and (rises[:-1] >= least[:-1]).all() and rises[-1] < least[-1] and len(m.likelihood) < 60
+    assert not impute.fit(raw, steps=2).mixture.converged
+
+
 def test_fill_edges(spark):
     t = rows(spark, [*BASE, ("z", None, 0, 5.0, None, None), ("z", "c", 0, 5.0, None, None), (None, None, None, None, None, None)], True)
     got = {r.obs_id: r for r in filled(t).collect()}
     assert len(got) == len(BASE) + 3 and got[len(BASE) + 1].detid == "c" and got[len(BASE) + 1].flow_filled is True
     last = got[len(BASE) + 3]
-    assert last.flow is not None and last.occ is not None and last.detid is None and last.detid_filled
+    assert last.flow is not None and last.occ is not None and last.detid is None and not last.detid_filled and last.unfilled == ["detid"]
+    assert all(r.unfilled == [] for r in got.values() if r.city == "x" and r.day is not None)
+    found = {tuple(r) for r in unusable(filled(t)).collect()}
+    assert {(len(BASE) + 3, f) for f in ("flow", "occ", "detid")} <= found and (len(BASE) + 1, "detid") in found
+
+
+def test_found_cells_come_through_the_fill(spark, data):
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        unusable(filled(spark.read.parquet(f"{data}/utd19_u.parquet"), steps=2)).explain()
+    assert "ArrowEvalPython" in out.getvalue() and "FlatMapCoGroupsInPandas" in out.getvalue()
