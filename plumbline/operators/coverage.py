@@ -15,7 +15,7 @@ from plumbline.operators.simplex import gram, matrix, mixture_weights, wide
 
 METRICS = ("mean_abs", "rmse", "max")
 FEW, PART_BYTES = 32, 8 << 20
-CERTIFICATE = "model_idx int, model_name string, kept array<int>, weights array<double>, uniqueness double"
+CERTIFICATE = "model_idx int, model_name string, kept array<int>, weights array<double>, uniqueness double, fit_distance double"
 
 
 @dataclass(frozen=True)
@@ -27,10 +27,11 @@ class Certificate:
     kept: tuple[int, ...]
     weights: tuple[float, ...]
     uniqueness: float
+    fit_distance: float  # Euclidean length of what is left over on the fit rows
 
 
 def check_responses(responses: DataFrame) -> list[str]:
-    """Names of the models by index; ValueError unless every query of both splits has every model once, with a finite y."""
+    """Names of the models by index; ValueError unless every query of both splits has every model once, with a finite y. A model without a name is called model_<index>."""
     per = (
         responses.groupBy("model_idx")
         .agg(
@@ -46,12 +47,12 @@ def check_responses(responses: DataFrame) -> list[str]:
         raise ValueError("each model needs a row of fit and of eval")
     if any(r.bad for r in per):
         raise ValueError("responses hold null, NaN or infinite values")
-    if [r.model_idx for r in per] != list(range(len(per))) or any(r.name is None or r.name != r.other for r in per):
+    if [r.model_idx for r in per] != list(range(len(per))) or any(r.name != r.other for r in per):
         raise ValueError("model_idx must run from 0 without gaps, one name each")
     queries = responses.groupBy("split", "query_id").agg(F.count("*").alias("n"), F.count_distinct("model_idx").alias("m")).where((F.col("n") != len(per)) | (F.col("m") != len(per)))
     if queries.limit(1).count():
         raise ValueError("not every query has every model exactly once")
-    return [r.name for r in per]
+    return [r.name if r.name is not None else f"model_{r.model_idx}" for r in per]
 
 
 class Coverage:
@@ -65,9 +66,9 @@ class Coverage:
         if metric not in METRICS:
             raise ValueError(f"metric must be one of {METRICS}")
         found = check_responses(responses)
-        if names is not None and len(names) != len(found):
+        if names and len(names) != len(found):
             raise ValueError(f"{len(names)} names for {len(found)} models")
-        self.names = names or found
+        self.names = list(names) if names else found
         self.metric, self.n = metric, len(found)
         self.spark = responses.sparkSession
         self.gram = gram(wide(responses, "fit"), self.n)
@@ -195,10 +196,18 @@ class Coverage:
         s = frozenset(kept)
         order = sorted(s)
         u, w = self.uniqueness(s), self.weights(s)
-        return [Certificate(i, self.names[i], tuple(order), tuple(float(x) for x in w[i, order]), float(u[i])) for i in range(self.n)]
+        return [Certificate(i, self.names[i], tuple(order), tuple(float(x) for x in w[i, order]), float(u[i]), self.fit_distance(s, i)) for i in range(self.n)]
+
+    def fit_distance(self, kept: Iterable[int], model: int) -> float:
+        """Euclidean distance on the fit rows between a model and its best mixture of kept ones; infinite for the empty set."""
+        s = frozenset(kept)
+        if not s:
+            return float("inf")
+        d = self.weights(s)[model] - np.eye(self.n)[model]
+        return float(np.sqrt(max(d @ self.gram @ d, 0.0)))
 
     def certificate_rows(self, kept: Iterable[int]) -> DataFrame:
-        return self.spark.createDataFrame([(c.model_idx, c.model_name, list(c.kept), list(c.weights), c.uniqueness) for c in self.certificates(kept)], CERTIFICATE)
+        return self.spark.createDataFrame([(c.model_idx, c.model_name, list(c.kept), list(c.weights), c.uniqueness, c.fit_distance) for c in self.certificates(kept)], CERTIFICATE)
 
     def bottleneck(self, kept: Iterable[int]) -> Certificate:
         """The certificate of greatest uniqueness, the lowest index on a tie."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -48,6 +49,46 @@ class FunctionUnit:
         return self.scalar(self.forward(perturbed(how, x, theta, seed)))
 
 
+@dataclass
+class ClassifierUnit:
+    """A text classifier in batches: tokens are cut at max_tokens, and the answer is the probability of class 1.
+
+    tokenize gives the tokens of a text; logits gives, for a batch of token lists, a list of numbers each: one (its sigmoid is the probability) or several (their softmax's second).
+    """
+
+    name: str
+    tokenize: Callable[[str], Sequence[Any]]
+    logits: Callable[[Sequence[Sequence[Any]]], Sequence[Sequence[float]]]
+    max_tokens: int = 256
+    batch_size: int = 16
+
+    def answer(self, inputs: Sequence[Any]) -> list[float]:
+        out: list[float] = []
+        for at in range(0, len(inputs), self.batch_size):
+            batch = [list(self.tokenize(x if x is not None else ""))[: self.max_tokens] for x in inputs[at : at + self.batch_size]]
+            out += [class_one(row) for row in self.logits(batch)]
+        return out
+
+
+def class_one(logits: Sequence[float]) -> float:
+    """Probability of class 1: the sigmoid of a single logit, else the softmax's second entry."""
+    if len(logits) == 1:
+        x = float(logits[0])
+        return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
+    top = max(logits)
+    return math.exp(logits[1] - top) / sum(math.exp(x - top) for x in logits)
+
+
+def load_classifier(name: str, logits: Callable[[str], Callable], fast: Callable[[str], Callable], slow: Callable[[str], Callable], warn: Callable[[str], None] = print, **settings: int) -> ClassifierUnit:
+    """A classifier by name from loaders of its parts; the slow tokenizer stands in where the fast one can't be loaded, with a warning."""
+    try:
+        tokenize = fast(name)
+    except Exception as e:  # noqa: BLE001
+        warn(f"{name}: no fast tokenizer ({e}); the slow one is used")
+        tokenize = slow(name)
+    return ClassifierUnit(name, tokenize, logits(name), **settings)
+
+
 @dataclass
 class Ecosystem:
     """A target and its peers, which all see the same perturbed input."""

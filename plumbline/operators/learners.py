@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pickle
 from dataclasses import dataclass
 
@@ -12,61 +13,84 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import dot
+
+
+SALTS = 32
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Count, means and centred products of two portions put together; no digits are lost to large means."""
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
 
 def linear_models(rows: DataFrame, names: list[str], group: str = "city", target: str = "y", ridge: float = 1e-6) -> DataFrame:
-    """(group, n, weights array, intercept, train_rmse): least squares per group, from sums of products only.
+    """(group, n, weights array, intercept, train_rmse): least squares per group, from counts, means and centred products only, in one pass.
 
-    Each task returns (p + 2) ** 2 sums a group, which Spark adds up; the normal equations are solved from those, so a group's rows never come together. Features and target must not be null.
+    Each task returns (p + 1) * (p + 2) numbers and a count for each group, which are put together in two rounds (by group and salt, then by group); the normal equations are solved from those, so a group's rows never come together. Features and target must not be null.
     """
     p = len(names)
     held = rows.select(group, *(F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate((*names, target))))
-    cols = [f"z{i}" for i in range(p + 1)]
-    scale = held.agg(*(f(c) for c in cols for f in (F.avg, F.stddev_pop))).first()
-    # Centred and scaled by the whole table's means first: sums of squares of large means lose digits.
-    mean, width = np.array([scale[2 * i] or 0.0 for i in range(p + 1)]), np.array([scale[2 * i + 1] or 1.0 for i in range(p + 1)])
-    kind, m = dict(rows.dtypes)[group], p + 2
+    kind = dict(rows.dtypes)[group]
+    stats = f"grp {kind}, salt int, s array<double>"
+
+    def packed(total: dict, grp_type: pa.DataType, salt: int) -> pa.RecordBatch:
+        flat = [np.r_[n, mean, prod.ravel()] for n, mean, prod in total.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(total), grp_type), pa.array(np.full(len(flat), salt, np.int32)), pa.array(flat, pa.list_(pa.float64()))], names=["grp", "salt", "s"])
 
     def sums(batches):
-        total: dict[object, np.ndarray] = {}
+        total: dict[object, tuple] = {}
+        grp_type = None
         for b in batches:
             key = pc.dictionary_encode(b.column(0), null_encoding="encode")
-            code = np.asarray(key.indices)
-            z = np.column_stack([(b.column(i + 1).to_numpy(zero_copy_only=False) - mean[i]) / width[i] for i in range(p + 1)] + [np.ones(b.num_rows)])
+            grp_type, code = key.dictionary.type, np.asarray(key.indices)
+            z = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(p + 1)])
             for k in np.unique(code):
                 part = z[code == k]
+                mean = part.mean(0)
+                own = (len(part), mean, (part - mean).T @ (part - mean))
                 name = key.dictionary[int(k)].as_py()
-                total[name] = total.get(name, 0) + part.T @ part
-        for name, t in total.items():
-            yield pa.RecordBatch.from_pydict({"grp": pa.array([name] * (m * m), key.dictionary.type), "i": np.arange(m * m, dtype=np.int32), "v": t.ravel()})
+                total[name] = _joined(total[name], own) if name in total else own
+        if total:
+            yield packed(total, grp_type, os.getpid() % SALTS)
 
-    stats = held.mapInArrow(sums, f"grp {kind}, i int, v double").groupBy("grp", "i").agg(F.sum("v").alias("v"))
-    packed = stats.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("s"))
+    def met(batches):
+        total: dict[object, tuple] = {}
+        grp_type = None
+        for b in batches:
+            grp_type = b.schema.field(0).type
+            for name, s in zip(b.column(0).to_pylist(), b.column(2)):
+                s = s.values.to_numpy(zero_copy_only=False)
+                own = (s[0], s[1 : p + 2], s[p + 2 :].reshape(p + 1, p + 1))
+                total[name] = _joined(total[name], own) if name in total else own
+        if total:
+            yield packed(total, grp_type, 0)
 
     def solve(batches):
-        for pdf in batches:
-            out = []
-            for name, flat in zip(pdf["grp"], pdf["s"]):
-                t = np.asarray(flat).reshape(m, m)
-                n = t[-1, -1]
-                c = t[:-1, :-1] - np.outer(t[:-1, -1], t[:-1, -1]) / n  # about the group's own means
+        out = []
+        for b in met(batches):
+            for name, s in zip(b.column(0).to_pylist(), b.column(2)):
+                s = s.values.to_numpy(zero_copy_only=False)
+                n, centre, c = s[0], s[1 : p + 2], s[p + 2 :].reshape(p + 1, p + 1)
                 own = np.sqrt(np.maximum(np.diag(c)[:p], 1e-300))
                 w = np.linalg.lstsq(c[:p, :p] / np.outer(own, own) + ridge * np.eye(p), c[:p, p] / own, rcond=None)[0] / own
                 error = max(c[p, p] - 2 * w @ c[:p, p] + w @ c[:p, :p] @ w, 0.0)
-                real = w * width[p] / width[:p]
-                centre = mean + width * t[:-1, -1] / n
-                out.append((name, int(round(n)), real.tolist(), float(centre[p] - real @ centre[:p]), float(np.sqrt(error / n) * width[p])))
-            yield pd.DataFrame(out, columns=["grp", "n", "weights", "intercept", "train_rmse"])
+                out.append((name, int(n), w.tolist(), float(centre[p] - w @ centre[:p]), float(np.sqrt(error / n))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.schema.field(0).type), *(pa.array([o[i] for o in out], t) for i, t in ((1, pa.int64()), (2, pa.list_(pa.float64())), (3, pa.float64()), (4, pa.float64())))], names=["grp", "n", "weights", "intercept", "train_rmse"])
+            out = []
 
-    return packed.mapInPandas(solve, f"grp {kind}, n long, weights array<double>, intercept double, train_rmse double").withColumnRenamed("grp", group)
+    salted = held.mapInArrow(sums, stats).repartition("grp", "salt").mapInArrow(met, stats)
+    return salted.repartition("grp").mapInArrow(solve, f"grp {kind}, n long, weights array<double>, intercept double, train_rmse double").withColumnRenamed("grp", group)
 
 
 def score_linear(queries: DataFrame, names: list[str], models: DataFrame, key: str = "query_id") -> DataFrame:
-    """(key, model_name, y): every linear model on every query row. models: model_name, weights, intercept; one row a model, sent by size."""
+    """(key, model_name, y): every linear model on every query row, where the rows are. models: model_name, weights, intercept; one row a model, put beside each row as one value."""
     x = F.array(*(F.col(c).cast("double") for c in names))
-    dot = F.aggregate(F.zip_with("weights", "__x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    held = queries.select(key, x.alias("__x")).withColumn("__one", F.lit(1))
-    every = models.select("model_name", "weights", "intercept").groupBy(F.lit(1).alias("__one")).agg(F.collect_list(F.struct("model_name", "weights", "intercept")).alias("__m"))
-    return held.join(every, "__one").select(key, "__x", F.explode("__m").alias("m")).select(key, "__x", "m.*").select(key, "model_name", (dot + F.col("intercept")).alias("y"))
+    every = models.agg(F.collect_list(F.struct("model_name", "weights", "intercept")).alias("m")).select("m").scalar()
+    asked = queries.select(key, x.alias("__x"), F.explode(every).alias("m"))
+    return asked.select(key, "m.model_name", (dot(F.col("m.weights"), F.col("__x")) + F.col("m.intercept")).alias("y"))
 
 
 @dataclass(frozen=True)
@@ -172,23 +196,43 @@ def boosted_models(rows: DataFrame, names: list[str], group: str = "city", targe
 
 
 def score_boosted(queries: DataFrame, names: list[str], models: DataFrame, key: str = "query_id") -> DataFrame:
-    """(key, model_name, y): every boosted model on every query row. models: model_name, model; the query rows stand beside each model, so they must be few."""
+    """(key, model_name, y): every boosted model on every query row. models: model_name, model; one row a model, put beside the query rows once a task by the driver."""
+    return _with_trees(queries, names, models, key, None)
+
+
+def predict(rows: DataFrame, names: list[str], models: DataFrame, key: str = "obs_id", group: str = "city") -> DataFrame:
+    """(key, group, y_hat): each row answered by the model of its own group, linear (weights, intercept) or boosted (model), where the rows are. Rows of groups without a model are left out.
+
+    models: group and the model's columns, one row a model; they must be as few as a driver can hold.
+    """
+    if "model" in models.columns:
+        return _with_trees(rows, names, models.withColumnRenamed(group, "model_name"), key, group).select(key, F.col("model_name").alias(group), F.col("y").alias("y_hat"))
+    held = models.agg(F.map_from_entries(F.collect_list(F.struct(group, F.struct("weights", "intercept")))).alias("m")).select("m").scalar()
     x = F.array(*(F.col(c).cast("double") for c in names))
-    asked = queries.select(F.col(key).alias("key"), x.alias("x")).agg(F.collect_list(F.struct("key", "x")).alias("__q"))
-    kind = queries.select(key).schema[0].dataType.simpleString()
+    own = rows.where(F.col(group).isNotNull()).select(key, group, x.alias("__x"), F.try_element_at(held, F.col(group)).alias("__m")).where("__m is not null")
+    return own.select(key, group, (dot(F.col("__m.weights"), F.col("__x")) + F.col("__m.intercept")).alias("y_hat"))
 
-    def answer(batches):
-        for b in batches:
-            held = b.column(2)
-            for i, (name, model) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                q = held[i].values
-                if q is None or not len(q):
-                    continue
-                y = pickle.loads(model).predict(np.asarray(q.field("x").flatten(), float).reshape(len(q), -1))
-                yield pa.RecordBatch.from_arrays([q.field("key"), pa.array([name] * len(q), b.schema.field(0).type), pa.array(y)], names=["key", "model_name", "y"])
 
+def _with_trees(rows: DataFrame, names: list[str], models: DataFrame, key: str, group: str | None) -> DataFrame:
+    kept = {r.model_name: bytes(r.model) for r in models.select("model_name", "model").collect()}
+    sent = rows.sparkSession.sparkContext.broadcast(kept)
+    kinds = dict(rows.dtypes)
     named = dict(models.dtypes)["model_name"]
-    return models.select("model_name", "model").crossJoin(asked).mapInArrow(answer, f"key {kind}, model_name {named}, y double").withColumnRenamed("key", key)
+
+    def run(batches):
+        trees = {name: pickle.loads(m) for name, m in sent.value.items()}
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]) if names else np.zeros((b.num_rows, 0))
+            own = b.column(len(names) + 1).to_pylist() if group else None
+            for name, m in trees.items():
+                at = np.arange(b.num_rows) if own is None else np.array([i for i, g in enumerate(own) if g == name], np.int64)
+                if at.size:
+                    yield pa.RecordBatch.from_arrays([b.column(len(names)).take(pa.array(at)), pa.array([name] * at.size), pa.array(m.predict(x[at]))], names=["key", "model_name", "y"])
+
+    cells = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]
+    asked = rows.select(*cells, F.col(key).alias("key"), *([F.col(group).alias("grp")] if group else []))
+    kind = rows.select(key).schema[0].dataType.simpleString() if key in kinds else "string"
+    return asked.mapInArrow(run, f"key {kind}, model_name {named}, y double").withColumnRenamed("key", key)
 
 
 def train_rmse(scored: DataFrame, group: str = "city", y: str = "y", fitted: str = "y_hat") -> DataFrame:

@@ -26,22 +26,30 @@ def pool(rows: DataFrame, fit: int, evaluate: int, seed: str = "0", key: str = "
     return part("val", fit, "fit").unionByName(part("test", evaluate, "eval"))
 
 
-def head_tail(texts: DataFrame, order: str) -> DataFrame:
-    """Adds half: the first max(1, n div 2) rows are fit, the others eval; a single row is both.
+def _numbered(rows: DataFrame, order: str, by: str | None = None) -> DataFrame:
+    """Adds __i: the row's number in the order, from 1, within each value of `by`; null first.
 
-    The rank comes from the counts of a fixed number of ranges of the order, joined back: one task sorts one range, never all rows.
+    It comes from the counts of a fixed number of ranges of the order, joined back: one task sorts one range of one value, never all rows of a frequent one.
     """
     at = F.col(order).cast("double")
-    n, low, high = (texts.agg(a.alias("v")).select("v").scalar() for a in (F.count("*"), F.min(at), F.max(at)))
-    ranged = texts.withColumn("__r", F.floor((at - low) / ((high - low) / RANGES + 1e-9)))
-    per = ranged.groupBy("__r").agg(F.count("*").alias("__c"))
-    # At most RANGES + 1 rows in this window.
-    before = per.withColumn("__b", F.sum("__c").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))).drop("__c")
-    w = Window.partitionBy("__r").orderBy(order)
-    placed = ranged.join(before, "__r").withColumn("__i", F.coalesce("__b", F.lit(0)) + F.row_number().over(w)).withColumn("__n", n)
+    low, high = (rows.agg(a.alias("v")).select("v").scalar() for a in (F.min(at), F.max(at)))
+    ranged = rows.withColumn("__r", F.coalesce(F.floor((at - low) / ((high - low) / RANGES + 1e-9)), F.lit(-1)))
+    keys = ["__r"] if by is None else ["__k", "__r"]
+    ranged = ranged if by is None else ranged.withColumn("__k", F.struct(F.col(by)))  # a struct is never null, so null joins null
+    per = ranged.groupBy(*keys).agg(F.count("*").alias("__c"))
+    # At most RANGES + 2 rows a value in this window.
+    w = (Window.orderBy("__r") if by is None else Window.partitionBy("__k").orderBy("__r")).rowsBetween(Window.unboundedPreceding, -1)
+    before = per.withColumn("__b", F.sum("__c").over(w)).drop("__c")
+    return ranged.join(before, keys).withColumn("__i", F.coalesce("__b", F.lit(0)) + F.row_number().over(Window.partitionBy(*keys).orderBy(order))).drop("__r", "__b", "__k")
+
+
+def head_tail(texts: DataFrame, order: str) -> DataFrame:
+    """Adds half: the first max(1, n div 2) rows are fit, the others eval; a single row is both. A null order comes first."""
+    n = texts.agg(F.count("*").alias("v")).select("v").scalar()
+    placed = _numbered(texts, order).withColumn("__n", n)
     first = F.col("__i") <= F.greatest(F.lit(1), F.floor(F.col("__n") / 2))
     halves = F.when(F.col("__n") == 1, F.array(F.lit("fit"), F.lit("eval"))).when(first, F.array(F.lit("fit"))).otherwise(F.array(F.lit("eval")))
-    return placed.withColumn("half", F.explode(halves)).drop("__r", "__b", "__i", "__n")
+    return placed.withColumn("half", F.explode(halves)).drop("__i", "__n")
 
 
 def dose_grid(texts: DataFrame, doses: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,8 +61,8 @@ def dose_grid(texts: DataFrame, doses: Sequence[float], key: str = "doc_id", tex
 
 def unique_names(names: DataFrame, name: str = "name", order: str = "pos") -> DataFrame:
     """Adds unique_name: the second and later rows of a name, in order, get #2, #3 and so on."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return names.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), k.cast("string"))))
+    k = F.col("__i")
+    return _numbered(names, order, name).withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), k.cast("string")))).drop("__i")
 
 
 def text_scorers(text: Column) -> dict[str, Column]:
@@ -85,8 +93,3 @@ def response_long(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     """The relation back from its wide form."""
     named = F.array(*(F.lit(n) for n in names))
     return wide.select("split", "query_id", F.posexplode("ys").alias("model_idx", "y")).withColumn("model_name", named[F.col("model_idx")])
-
-
-def disagreement(responses: DataFrame) -> DataFrame:
-    """(split, query_id, spread): how far the models' answers to a query lie apart."""
-    return responses.groupBy("split", "query_id").agg((F.max("y") - F.min("y")).alias("spread"))

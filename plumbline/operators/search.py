@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.coverage import Certificate, Coverage
 
+LOG = logging.getLogger("plumbline.search")
 HISTORY = "iteration int, action string, model_idx int, model_name string, kept array<int>, coverage double, sum_uniqueness double"
+TRACE = "iteration int, candidate_idx int, candidate_name string, coverage double, chosen boolean"
 
 
 @dataclass(frozen=True)
@@ -32,19 +35,26 @@ class Result:
     history: list[Step]
     certificates: list[Certificate]
     pops: list[tuple[int, bool]] = field(default_factory=list)  # lazy search: model taken from the heap, and if its gain was fresh
+    trace: list[tuple[int, int, str, float, bool]] = field(default_factory=list)  # candidates compared in each iteration
 
     def history_rows(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(s.iteration, s.action, s.model_idx, s.model_name, list(s.kept), s.coverage, s.sum_uniqueness) for s in self.history], HISTORY)
 
+    def trace_rows(self, spark: SparkSession) -> DataFrame:
+        """Every candidate that forward or backward search compared, with the coverage it would have led to."""
+        return spark.createDataFrame(self.trace, TRACE)
+
 
 class _Walk:
     """The kept set and what was done to it."""
 
     def __init__(self, cov: Coverage, kept: Iterable[int]) -> None:
         self.cov, self.kept, self.steps = cov, frozenset(kept), []
+        self.trace: list[tuple[int, int, str, float, bool]] = []
 
     def note(self, action: str, model: int | None) -> None:
         name = None if model is None else self.cov.names[model]
+        LOG.debug("%s %s: kept %s", action, name, sorted(self.kept))
         self.steps.append(Step(len(self.steps) + 1, action, model, name, tuple(sorted(self.kept)), self.cov.coverage(self.kept), self.cov.total(self.kept)))
 
     def add(self, model: int) -> None:
@@ -58,12 +68,17 @@ class _Walk:
     def best(self, candidates: list[int], change: Callable[[int], frozenset[int]]) -> tuple[float, int]:
         """Least coverage after the change, the lowest index on a tie; all candidates in one job."""
         self.cov.batch(change(j) for j in candidates)
-        return min((self.cov.coverage(change(j)), j) for j in candidates)
+        found = [(self.cov.coverage(change(j)), j) for j in candidates]
+        best = min(found)
+        for e, j in found:
+            LOG.debug("candidate %s: coverage %.6f%s", self.cov.names[j], e, " *" if j == best[1] else "")
+        self.trace += [(len(self.steps) + 1, j, self.cov.names[j], e, j == best[1]) for e, j in found]
+        return best
 
     def result(self) -> Result:
         self.note("stop", None)
         s = self.steps[-1]
-        return Result(self.kept, s.coverage, s.sum_uniqueness, self.steps, self.cov.certificates(self.kept))
+        return Result(self.kept, s.coverage, s.sum_uniqueness, self.steps, self.cov.certificates(self.kept), trace=self.trace)
 
 
 def forward(cov: Coverage, gamma: float) -> Result:
@@ -133,3 +148,19 @@ def removals(cov: Coverage, kept: Iterable[int], gamma: float) -> list[tuple[int
     s = frozenset(kept)
     cov.batch(s - {j} for j in s)
     return [(j, cov.names[j], cov.coverage(s - {j}), cov.coverage(s - {j}) <= gamma) for j in sorted(s)]
+
+
+def singletons(cov: Coverage) -> list[tuple[int, int, str, float, float]]:
+    """(rank, model, name, coverage, sum of uniqueness) of every model kept alone, the least coverage first."""
+    cov.batch((j,) for j in range(cov.n))
+    ranked = sorted((cov.coverage((j,)), j) for j in range(cov.n))
+    return [(k + 1, j, cov.names[j], e, cov.total((j,))) for k, (e, j) in enumerate(ranked)]
+
+
+def gains(cov: Coverage, kept: Iterable[int], most: int = 10) -> list[tuple[int, int, str, float]]:
+    """(rank, model, name, gain): by how much coverage falls if a model joins the kept set; the `most` greatest gains."""
+    s = frozenset(kept)
+    rest = [j for j in range(cov.n) if j not in s]
+    cov.batch([s, *(s | {j} for j in rest)])
+    ranked = sorted((-(cov.coverage(s) - cov.coverage(s | {j})), j) for j in rest)[:most]
+    return [(k + 1, j, cov.names[j], -g) for k, (g, j) in enumerate(ranked)]

@@ -60,17 +60,12 @@ def detector_topk(spark: SparkSession, d: str) -> DataFrame:
     return series.busiest_detectors(_recent(spark, d), 5, CONFIG.min_points)
 
 
-def _kept(spark: SparkSession, d: str, config: series.SeriesConfig) -> DataFrame:
-    obs = _recent(spark, d, config)
-    return obs.join(series.busiest_detectors(obs, config.detectors, config.min_points), ["city", "detid"], "left_semi")
-
-
 def calendar_features(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
-    return settle_all(series.calendar_features(_kept(spark, d, config)).select(*KEYS, "dow", "is_weekend", "dow_sin", "dow_cos", "tod_sin", "tod_cos"))
+    return settle_all(series.kept(_raw(spark, d), config).select(*KEYS, "dow", "is_weekend", "dow_sin", "dow_cos", "tod_sin", "tod_cos"))
 
 
 def lag_features(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
-    rows = series.lag_features(_kept(spark, d, config), CONFIG.lags, CONFIG.horizon)
+    rows = series.lagged(_raw(spark, d), config)
     return settle_all(rows.select(*KEYS, *(f"{c}_lag{k}" for c in ("flow", "occ") for k in CONFIG.lags), "flow_diff1", "y", "split"))
 
 
@@ -89,13 +84,13 @@ def city_list(spark: SparkSession, d: str) -> DataFrame:
 
 def linear_trend(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
     """One-feature regression of the next flow on this one, per city."""
-    rows = series.lag_features(_kept(spark, d, config), CONFIG.lags, CONFIG.horizon).where("split = 'train'")
+    rows = series.lagged(_raw(spark, d), config).where("split = 'train'")
     return settle_all(rows.groupBy("city").agg(F.count("*").alias("n"), F.regr_slope("y", "flow").alias("slope"), F.regr_intercept("y", "flow").alias("intercept")))
 
 
 def model_rmse(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
     """Root mean square error of "the next flow is this flow", per city."""
-    rows = series.lag_features(_kept(spark, d, config), CONFIG.lags, CONFIG.horizon).where("split = 'train'")
+    rows = series.lagged(_raw(spark, d), config).where("split = 'train'")
     return settle_all(train_rmse(rows.withColumn("y_hat", F.col("flow"))))
 
 

@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import file_name
+
 COLUMNS = ("day", "interval", "detid", "flow", "occ", "error", "city")
 HEADER = "day string, interval string, detid string, flow string, occ string, error string, city string, speed string"
 
@@ -26,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, whole: bool = False, cities: Sequen
 
 @dataclass(frozen=True)
 class Bundle:
-    """responses: split, query_id, model_idx, model_name, y. models: model_idx, model_name, train_rmse."""
+    """responses: split, query_id, model_idx, model_name, y. models: model_idx, model_name, n, train_rmse, and the model itself: weights and intercept, or the trees (model)."""
 
     responses: DataFrame
     models: DataFrame
@@ -52,3 +54,17 @@ def load_bundle(spark: SparkSession, folder: str, key: str) -> Bundle | None:
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return None
     return Bundle(spark.read.parquet(f"{at}/responses"), spark.read.parquet(f"{at}/models"))
+
+
+def save_models(models: DataFrame, folder: str, name: str = "city") -> str:
+    """Fitted models, linear or boosted, as one folder a model: <folder>/<name with / as _>."""
+    models.withColumn("file", file_name(F.col(name))).write.mode("overwrite").partitionBy("file").parquet(folder)
+    return folder
+
+
+def load_models(spark: SparkSession, folder: str, names: Sequence[str] | None = None) -> DataFrame:
+    """The models of a folder, or those of the given names only; the folders of others are not opened."""
+    models = spark.read.option("recursiveFileLookup", "false").parquet(folder)
+    if names is not None:
+        models = models.where(F.col("file").isin(*(n.replace("/", "_") for n in names)))
+    return models.drop("file")
