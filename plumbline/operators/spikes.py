@@ -21,7 +21,7 @@ from plumbline.operators.readings import DAY_S, is_reading
 
 HALF, WIDTHS = 5, 3.0
 #: Detectors with more readings than this, and than one in MOST_HOT of all, are cut into slices of time of about so many readings.
-PIECE_ROWS, MOST_HOT = 200_000, 10_000
+PIECE_ROWS, MOST_HOT = 50_000, 10_000
 #: Instants at a slice's ends that are judged together with the neighbouring slice.
 ZONE = 16
 BLOCK_ROWS = 150_000
