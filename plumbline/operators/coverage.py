@@ -15,6 +15,7 @@ from plumbline.operators.simplex import gram, matrix, mixture_weights, wide
 
 METRICS = ("mean_abs", "rmse", "max")
 FEW, PART_BYTES = 32, 8 << 20
+LOCAL_BYTES = 8 << 20
 CERTIFICATE = "model_idx int, model_name string, kept array<int>, weights array<double>, uniqueness double, fit_distance double"
 
 
@@ -59,7 +60,8 @@ class Coverage:
     """Evaluates sets of kept models over a response relation (split, query_id, model_idx, model_name, y).
 
     The Gram matrix of the fit rows is aggregated once. Weights are solved from it on the driver, whose state is bounded by the number of models. All sets asked for in one call are
-    scored by one job over the eval rows, each task returning three numbers a set and model. What was scored is kept by set, and serves every tolerance.
+    scored by one job over the eval rows, each task returning three numbers a set and model; eval rows of at most LOCAL_BYTES are scored by the same function without a job. What was scored is kept by set, and serves every tolerance.
+    solved counts the mixtures that were asked for, of models outside their sets.
     """
 
     def __init__(self, responses: DataFrame, metric: str = "mean_abs", names: list[str] | None = None) -> None:
@@ -74,9 +76,12 @@ class Coverage:
         self.gram = gram(wide(responses, "fit"), self.n)
         self.eval = wide(responses, "eval").select("ys").persist()
         rows = self.eval.count()
-        self.parts = self.eval.rdd.getNumPartitions()
+        self.local: list[pa.RecordBatch] | None = None
+        self.parts, self.solved = self.eval.rdd.getNumPartitions(), 0
         enough = 1 + rows * self.n * 8 // PART_BYTES
-        if enough < self.parts:  # every task costs more than a few rows do
+        if rows * self.n * 8 <= LOCAL_BYTES:
+            self.local = self.eval.toArrow().to_batches()
+        elif enough < self.parts:  # every task costs more than a few rows do
             spread, self.eval, self.parts = self.eval, self.eval.coalesce(enough).persist(), enough
             self.eval.count()
             spread.unpersist()
@@ -141,6 +146,7 @@ class Coverage:
             return
         for s in new:
             self.weights(s)
+            self.solved += self.n - len(s)
             self._u[s] = np.zeros(self.n)
         # Only models outside the set have a residual, and where the weights are those of a scored set, it is known. Column c of the residuals is ys @ mix[:, c].
         asked, pending = [], set(new)
@@ -169,10 +175,13 @@ class Coverage:
                     most = np.maximum(most, r.max(0))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(np.full(m, count)), pa.array(sums), pa.array(squares), pa.array(most)], names=["c", "n", "s", "q", "m"])
 
-        got = self.eval.mapInArrow(run, "c long, n long, s double, q double, m double")
-        if self.parts > FEW:  # many tasks' numbers are added up by Spark, those of a few here
-            got = got.groupBy("c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("m").alias("m"))
-        pdf = got.toPandas()
+        if self.local is not None:
+            pdf = pa.Table.from_batches(run(iter(self.local))).to_pandas()
+        else:
+            got = self.eval.mapInArrow(run, "c long, n long, s double, q double, m double")
+            if self.parts > FEW:  # many tasks' numbers are added up by Spark, those of a few here
+                got = got.groupBy("c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("m").alias("m"))
+            pdf = got.toPandas()
         added = pdf.groupby("c").agg({"n": "sum", "s": "sum", "q": "sum", "m": "max"}).sort_index()
         value = {"mean_abs": added.s / added.n, "rmse": np.sqrt(added.q / added.n), "max": added.m}[self.metric]
         for c, v in value.items():

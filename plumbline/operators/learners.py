@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import pickle
 from dataclasses import dataclass
 
@@ -10,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +54,8 @@ def linear_models(rows: DataFrame, names: list[str], group: str = "city", target
                 name = key.dictionary[int(k)].as_py()
                 total[name] = _joined(total[name], own) if name in total else own
         if total:
-            yield packed(total, grp_type, os.getpid() % SALTS)
+            task = TaskContext.get()  # the same salt if the task runs again
+            yield packed(total, grp_type, task.partitionId() % SALTS if task else 0)
 
     def met(batches):
         total: dict[object, tuple] = {}

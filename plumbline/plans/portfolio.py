@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import file_name, format_dose, mask_text, mask_text_shuffled, on_simplex, sigmoid, softmax, stable_seed
 from plumbline.operators import ecosystem, metrics, report, responses, series
-from plumbline.operators.bundle import build_bundle
-from plumbline.operators.coverage import Coverage
-from plumbline.operators.learners import BoostConfig, boosted_models, linear_models, train_rmse
-from plumbline.operators.search import ALGORITHMS, removals
+from plumbline.operators.bundle import answer, build_bundle
+from plumbline.operators.coverage import Coverage, check_responses
+from plumbline.operators.learners import BoostConfig, boosted_models, linear_models, predict, train_rmse
+from plumbline.operators.search import ALGORITHMS, gains, removals, singletons
 from plumbline.operators.simplex import duality_gap
+from plumbline.plans.pooled import POOLS, eliminated
+from plumbline.plans.pooled import pooled_searches as _pooled_sql
 from plumbline.plans.problems import _round, settle_all, settled
+from plumbline.session import scratch
+from plumbline.sources.observations import load_models, read_csv, save_models
 from plumbline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = series.SeriesConfig(horizon=1, lags=(1, 2, 3, 6), days=30, detectors=40, min_points=100)
 WHOLE = replace(CONFIG, days=None, detectors=None)
 DOSES = (0.0, 0.25, 0.5)
-GAMMAS_N3 = (20.0, 60.0, 80.0, 120.0, 400.0)
+GAMMAS_POOLED = (5.0, 20.0, 40.0, 60.0, 90.0)
 GAMMAS = (40.0, 60.0, 80.0, 100.0)
 KEYS = ["obs_id", "city", "detid"]
 
@@ -32,9 +36,8 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "utd19_u")
 
 
-def _responses(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
-    r = table(spark, d, "responses")
-    return r if n is None else r.where(F.col("model_idx") < n)
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "responses")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +72,12 @@ def lag_features(spark: SparkSession, d: str, config: series.SeriesConfig = CONF
     return settle_all(rows.select(*KEYS, *(f"{c}_lag{k}" for c in ("flow", "occ") for k in CONFIG.lags), "flow_diff1", "y", "split"))
 
 
+def forced_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Lags without 1 among them: the first is added for the difference."""
+    rows = series.lagged(_raw(spark, d), replace(WHOLE, lags=(2, 6)))
+    return settle_all(rows.select(*KEYS, "flow_lag1", "flow_lag2", "flow_lag6", "flow_diff1"))
+
+
 def prepared_features(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG) -> DataFrame:
     rows, names = series.prepare(_raw(spark, d), config)
     return settle_all(rows.select(*KEYS, *names, "y", "split"))
@@ -94,19 +103,58 @@ def model_rmse(spark: SparkSession, d: str, config: series.SeriesConfig = CONFIG
     return settle_all(train_rmse(rows.withColumn("y_hat", F.col("flow"))))
 
 
-def linear_fit(spark: SparkSession, d: str) -> DataFrame:
+def _train(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     rows, names = series.prepare(_raw(spark, d), WHOLE)
-    return linear_models(series.finite_rows(rows, names).where("split = 'train'"), names)
+    return series.finite_rows(rows, names).where("split = 'train'"), names
+
+
+def linear_fit(spark: SparkSession, d: str) -> DataFrame:
+    return linear_models(*_train(spark, d))
+
+
+def linear_rmse(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and training error of the linear models over all features."""
+    return settle_all(linear_fit(spark, d).select("city", "n", "train_rmse"))
+
+
+def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """One-feature models fitted on the train rows, saved, loaded and asked about the test rows, each by its own city's."""
+    rows = series.lagged(_raw(spark, d), WHOLE).where("split is not null").select("obs_id", "city", "split", "flow", "y")
+    at = scratch(spark, "models")
+    save_models(linear_models(rows.where("split = 'train'"), ["flow"], ridge=0.0), at)
+    told = predict(rows.where("split = 'test'"), ["flow"], load_models(spark, at)).join(rows.where("split = 'test'").select("obs_id", "y"), "obs_id")
+    return settle_all(told.groupBy("city").agg(F.count("*").alias("n"), F.avg("y_hat").alias("mean_y_hat"), F.sqrt(F.avg(F.pow(F.col("y_hat") - F.col("y"), 2))).alias("test_rmse")))
 
 
 def boosted_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows, names = series.prepare(_raw(spark, d), WHOLE)
-    train = series.finite_rows(rows, names).where("split = 'train'")
-    return boosted_models(train, names, config=BoostConfig(max_rows=None)).drop("model")
+    """Trees on at most BoostConfig.max_rows training rows of each city."""
+    train, names = _train(spark, d)
+    return boosted_models(train, names, config=BoostConfig()).drop("model")
 
 
 def response_bundle(spark: SparkSession, d: str) -> DataFrame:
-    return build_bundle(_raw(spark, d), WHOLE, boost=BoostConfig(max_rows=None)).responses
+    return build_bundle(_raw(spark, d), WHOLE, boost=BoostConfig()).responses
+
+
+def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A bundle of linear models saved and loaded: its models answer its own queries once more; the greatest difference by model."""
+    raw = _raw(spark, d)
+    folder = scratch(spark, "bundles")
+    built = build_bundle(raw, WHOLE, sizes=(100, 20, 20), folder=folder, source=d)
+    rows, names = series.prepare(raw, WHOLE)
+    asked = built.responses.select(F.col("query_id").alias("obs_id"), F.col("split").alias("role")).distinct().join(rows, "obs_id")
+    again = answer(built.models, asked.withColumn("query_id", F.struct("role", "obs_id")), names)
+    told = again.select(F.col("query_id.role").alias("split"), F.col("query_id.obs_id").alias("query_id"), "model_idx", F.col("y").alias("again"))
+    return built.responses.join(told, ["split", "query_id", "model_idx"]).groupBy("model_idx", "model_name").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("y") - F.col("again"))) < 1e-9).alias("same"))
+
+
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Readings written as CSV and read back, with the columns the pipeline needs and the cities that have models, cleaned."""
+    at = scratch(spark, "csv")
+    _raw(spark, d).select(*(F.col(c).cast("string").alias(c) for c in ("day", "interval", "detid", "flow", "occ", "error", "city", "speed"))).write.csv(at, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cities = [r.model_name for r in table(spark, d, "city_models").collect()]
+    rows = series.clean_observations(read_csv(spark, at, cities=cities))
+    return settle_all(rows.groupBy("city").agg(F.count("*").alias("n"), F.count_distinct("detid").alias("detectors"), F.min(F.col("day").cast("string")).alias("first_day"), F.avg("flow").alias("flow"), F.avg("occ").alias("occ"), F.avg("interval").alias("seconds")))
 
 
 # --- responses ---
@@ -144,8 +192,9 @@ def response_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def response_check(spark: SparkSession, d: str) -> DataFrame:
-    """What the validation of responses looks at."""
+    """The relation's size by split, once the validation has found nothing wrong; it raises otherwise."""
     r = _responses(spark, d)
+    check_responses(r)
     return r.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries"), F.count_distinct("model_idx").alias("models"), F.count_if(F.col("y").isNull() | F.isnan("y")).alias("bad"))
 
 
@@ -171,28 +220,59 @@ def _pair_queries(metric: str) -> Query:
         cov = Coverage(_responses(spark, d), metric)
         pairs = [(a, b) for a in range(cov.n) for b in range(a + 1, cov.n)]
         cov.batch(pairs)
-        rows = [(a, b, i, float(cov.weights(frozenset((a, b)))[i, a]), float(cov.uniqueness((a, b))[i])) for a, b in pairs for i in range(cov.n) if i not in (a, b)]
+        rows = [(a, b, i, float(cov.weights(frozenset((a, b)))[i, a]), float(cov.uniqueness((a, b))[i]), cov.fit_distance((a, b), i)) for a, b in pairs for i in range(cov.n) if i not in (a, b)]
         cov.close()
-        return settle_all(spark.createDataFrame(rows, "a int, b int, model_idx int, weight_a double, u double"))
+        return settle_all(spark.createDataFrame(rows, "a int, b int, model_idx int, weight_a double, u double, fit_distance double"))
 
     return query
 
 
-def search_n3(spark: SparkSession, d: str) -> DataFrame:
-    """All three searches over the first three models at several tolerances."""
-    cov = Coverage(_responses(spark, d, 3))
-    rows = []
-    for g in GAMMAS_N3:
-        for name, search in ALGORITHMS.items():
-            r = search(cov, g)
-            rows.append((g, name, ",".join(map(str, sorted(r.kept))), r.coverage, r.sum_uniqueness, len(r.history)))
+def pooled_responses(responses: DataFrame, n: int) -> DataFrame:
+    """The relation of n pooled models: pool i answers with the mean of models i, i + n, i + 2 n and so on."""
+    i = F.pmod("model_idx", F.lit(n)).cast("int")
+    means = responses.groupBy("split", "query_id", i.alias("model_idx")).agg(F.avg("y").alias("y"))
+    return means.select("split", "query_id", "model_idx", F.concat(F.lit("pool_"), F.col("model_idx").cast("string")).alias("model_name"), "y")
+
+
+def pooled_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Every step of all three searches at several tolerances, over all models pooled to POOLS."""
+    cov = Coverage(pooled_responses(_responses(spark, d), POOLS))
+    rows = [
+        (g, name, s.iteration, s.action, s.model_idx, ",".join(map(str, s.kept)), s.coverage, s.sum_uniqueness)
+        for g in GAMMAS_POOLED
+        for name, search in ALGORITHMS.items()
+        for s in search(cov, g).history
+    ]
+    cov.close()
+    return settle_all(spark.createDataFrame(rows, "gamma double, algorithm string, iteration int, action string, model_idx int, kept string, coverage double, sum_uniqueness double"))
+
+
+def singleton_ranking(spark: SparkSession, d: str) -> DataFrame:
+    cov = Coverage(_responses(spark, d))
+    out = spark.createDataFrame(singletons(cov), "pos int, model_idx int, model_name string, coverage double, sum_uniqueness double")
     cov.close()
-    return settle_all(spark.createDataFrame(rows, "gamma double, algorithm string, kept string, coverage double, sum_uniqueness double, n_steps int"))
+    return settle_all(out)
 
 
-def _search_queries(name: str, n: int | None, gamma: float) -> Query:
+def top_gains(spark: SparkSession, d: str) -> DataFrame:
+    """The ten models whose joining the best single one lowers coverage most."""
+    cov = Coverage(_responses(spark, d))
+    out = spark.createDataFrame(gains(cov, [singletons(cov)[0][1]], 10), "pos int, model_idx int, model_name string, gain double")
+    cov.close()
+    return settle_all(out)
+
+
+def candidate_trace(spark: SparkSession, d: str) -> DataFrame:
+    """What backward elimination compared in each iteration."""
+    cov = Coverage(_responses(spark, d))
+    out = ALGORITHMS["backward_elimination"](cov, 80.0).trace_rows(spark)
+    cov.close()
+    return out
+
+
+def _search_queries(name: str, gamma: float) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        cov = Coverage(_responses(spark, d, n))
+        cov = Coverage(_responses(spark, d))
         out = ALGORITHMS[name](cov, gamma).history_rows(spark)
         cov.close()
         return out
@@ -259,6 +339,14 @@ def step_metrics(spark: SparkSession, d: str) -> DataFrame:
     return settle_all(flat)
 
 
+def step_uniqueness(spark: SparkSession, d: str) -> DataFrame:
+    """The map of each model's uniqueness in those steps, entry by entry."""
+    cov = Coverage(_responses(spark, d))
+    m = metrics.step_metrics(metrics.step_models(cov, [(0,), (0, 1)], 60.0))
+    cov.close()
+    return settle_all(m.select("step", F.explode("per_model_uniqueness").alias("model_name", "u")))
+
+
 def trajectory(spark: SparkSession, d: str) -> DataFrame:
     cov = Coverage(_responses(spark, d))
     out = report.trajectory(cov, report.run(cov, "backward_elimination", 60.0)).drop("elapsed_seconds")
@@ -303,9 +391,22 @@ def text_responses(spark: SparkSession, d: str) -> DataFrame:
     return settle_all(responses.respond(q, responses.text_scorers(F.col("masked"))))
 
 
+def _ecosystem() -> ecosystem.Ecosystem:
+    units = [ecosystem.FunctionUnit("words", lambda t: len((t or "").split())), ecosystem.FunctionUnit("letters", lambda t: len(t or "")), ecosystem.FunctionUnit("masks", lambda t: (t or "").count("[MASK]"))]
+    return ecosystem.Ecosystem(units[0], units[1:])
+
+
+def _peers(answers: DataFrame) -> DataFrame:
+    return answers.select("query_id", "target", F.get("peers", F.lit(0)).alias("letters"), F.get("peers", F.lit(1)).alias("masks"))
+
+
+def ecosystem_plain(spark: SparkSession, d: str) -> DataFrame:
+    """A target and two peers asked the texts as they are."""
+    return _peers(_ecosystem().ask(_texts(spark, d)))
+
+
 def ecosystem_answers(spark: SparkSession, d: str) -> DataFrame:
     """A target and two peers asked the same perturbed texts."""
-    units = [ecosystem.FunctionUnit("words", lambda t: len((t or "").split())), ecosystem.FunctionUnit("letters", lambda t: len(t or "")), ecosystem.FunctionUnit("masks", lambda t: (t or "").count("[MASK]"))]
 
     class Masking:
         def apply(self, x: str, theta: float, seed: int | None = None) -> str:
@@ -313,7 +414,7 @@ def ecosystem_answers(spark: SparkSession, d: str) -> DataFrame:
 
             return shuffled_mask(x, theta, seed or 0) or ""
 
-    return ecosystem.Ecosystem(units[0], units[1:]).ask(_texts(spark, d), Masking()).select("query_id", "target", F.get("peers", F.lit(0)).alias("letters"), F.get("peers", F.lit(1)).alias("masks"))
+    return _peers(_ecosystem().ask(_texts(spark, d), Masking()))
 
 
 def unique_names(spark: SparkSession, d: str) -> DataFrame:
@@ -338,10 +439,11 @@ def pooled_queries(spark: SparkSession, d: str, config: series.SeriesConfig = CO
 
 def simplex_functions(spark: SparkSession, d: str) -> DataFrame:
     """Weights repaired to the simplex, sigmoid and softmax over the responses of a query."""
-    w = responses.response_wide(_responses(spark, d, 3)).where("split = 'eval'")
+    w = responses.response_wide(_responses(spark, d)).where("split = 'eval'")
     z = F.transform("ys", lambda y: (y - 300) / 100)
     fixed = on_simplex(z)
-    return settle_all(w.select("query_id", fixed[0].alias("w0"), fixed[1].alias("w1"), fixed[2].alias("w2"), sigmoid(z[0]).alias("s"), softmax(z).alias("p1")))
+    zero = F.lit(0.0)
+    return settle_all(w.select("query_id", fixed[0].alias("w0"), F.array_max(fixed).alias("w_most"), F.aggregate(fixed, zero, lambda a, x: a + x * x).alias("w_squares"), sigmoid(z[0]).alias("s"), softmax(z).alias("p1")))
 
 
 # --- summaries ---
@@ -358,6 +460,25 @@ def kept_set_diff(spark: SparkSession, d: str) -> DataFrame:
     return t.select("gamma", *(F.array_join(c, ",").alias(c) for c in ("both", "only_a", "only_b")))
 
 
+def membership(spark: SparkSession, d: str) -> DataFrame:
+    """Which of all algorithms kept a model, at every tolerance."""
+    return report.membership(table(spark, d, "run_summary")).select("gamma", "model_name", F.array_join("algorithms", ",").alias("algorithms"), "n_algorithms")
+
+
+def result_files(spark: SparkSession, d: str) -> DataFrame:
+    """A sweep written to files and read back from its summary: one row a run, and if its own file is there."""
+    responses_ = _responses(spark, d)
+    cov = Coverage(responses_)
+    at = scratch(spark, "sweep")
+    report.write_sweep(cov, responses_, report.sweep(cov, GAMMAS[:2]), at)
+    report.write_sweep(cov, responses_, report.sweep(cov, GAMMAS[:2], ("priority_queue",)), at)
+    names = cov.names
+    cov.close()
+    files = spark.read.format("binaryFile").load(f"{at}/*.json").select(F.element_at(F.split("path", "/"), -1).alias("result_file"), F.lit(True).alias("written"))
+    runs = report.read_summary(spark, f"{at}/summary.json").join(files, "result_file", "left")
+    return runs.select("gamma", "algorithm", (F.size("kept_set_names") + F.size("removed_set_names") == len(names)).alias("complete"), (F.col("coverage_e_s") <= F.col("gamma")).alias("within"), F.coalesce("written", F.lit(False)).alias("written"))
+
+
 def summary_merge(spark: SparkSession, d: str) -> DataFrame:
     """New rows of one algorithm take the place of its old ones."""
     r = table(spark, d, "run_summary")
@@ -377,15 +498,16 @@ def runs_json(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        clean_observations, recent_days, detector_topk, calendar_features, lag_features, prepared_features, split_sizes, city_list, linear_trend, model_rmse, linear_fit, boosted_fit, response_bundle,
+        clean_observations, recent_days, detector_topk, calendar_features, lag_features, forced_lag, prepared_features, split_sizes, city_list, linear_trend, model_rmse, linear_fit, linear_rmse, model_roundtrip, boosted_fit,
+        response_bundle, bundle_roundtrip, csv_roundtrip,
         response_stats, response_overall, pairwise_differences, pairwise_stats, gram_matrix, response_wide, response_roundtrip, response_check,
-        singleton_coverage, search_n3, optimality_check, gamma_sweep, lazy_trace, removal_what_ifs, step_metrics, trajectory, bottleneck,
-        dose_grid, stable_seeds, masked_texts, masked_texts_shuffled, text_responses, ecosystem_answers, unique_names, fit_eval_halves, sample_texts, pooled_queries, simplex_functions,
-        runs_ordered, kept_set_diff, summary_merge, algorithm_names, runs_json,
+        singleton_coverage, singleton_ranking, top_gains, pooled_searches, optimality_check, gamma_sweep, lazy_trace, candidate_trace, removal_what_ifs, step_metrics, step_uniqueness, trajectory, bottleneck,
+        dose_grid, stable_seeds, masked_texts, masked_texts_shuffled, text_responses, ecosystem_plain, ecosystem_answers, unique_names, fit_eval_halves, sample_texts, pooled_queries, simplex_functions,
+        runs_ordered, kept_set_diff, membership, result_files, summary_merge, algorithm_names, runs_json,
     )
 }
 QUERIES |= {f"pair_certificates_{m}": _pair_queries(m) for m in ("mean_abs", "rmse", "max")}
-QUERIES |= {f"{a}_n{n or 'all'}": _search_queries(a, n, g) for a in ALGORITHMS for n, g in ((8, 60.0), (None, 60.0))}
+QUERIES |= {f"{a}_nall{f'_g{g:g}' if g != 60 else ''}": _search_queries(a, g) for a in ALGORITHMS for g in (40.0, 60.0)}
 QUERIES["certificates"] = _certificates(80.0)
 
 
@@ -440,43 +562,15 @@ _PAIR = f"""{_WIDE},
 g as (select p.model_idx as i, q.model_idx as j, sum(p.y * q.y) as g from f p join f q on p.query_id = q.query_id group by 1, 2),
 m as (select distinct model_idx as i from f),
 pair as (select a.i as a, b.i as b, t.i as t from m a join m b on a.i < b.i join m t on t.i <> a.i and t.i <> b.i),
-wts as (select p.a, p.b, p.t, aa.g - 2 * ab.g + bb.g as dd, case when aa.g - 2 * ab.g + bb.g > 0 then greatest(0, least(1, (ta.g - tb.g - ab.g + bb.g) / (aa.g - 2 * ab.g + bb.g))) else 1 end as wa
+wts as (select *, sqrt(greatest(wa * wa * aa + (1 - wa) * (1 - wa) * bb + 2 * wa * (1 - wa) * ab - 2 * wa * ta - 2 * (1 - wa) * tb + tt, 0)) as fd from (
+  select p.a, p.b, p.t, aa.g as aa, bb.g as bb, ab.g as ab, ta.g as ta, tb.g as tb, tt.g as tt, case when aa.g - 2 * ab.g + bb.g > 0 then greatest(0, least(1, (ta.g - tb.g - ab.g + bb.g) / (aa.g - 2 * ab.g + bb.g))) else 1 end as wa
   from pair p join g aa on aa.i = p.a and aa.j = p.a join g bb on bb.i = p.b and bb.j = p.b join g ab on ab.i = p.a and ab.j = p.b
-  join g ta on ta.i = p.t and ta.j = p.a join g tb on tb.i = p.t and tb.j = p.b),
-res as (select w.a, w.b, w.t, any_value(w.wa) as wa, avg(abs(w.wa * ya.y + (1 - w.wa) * yb.y - yt.y)) as mean_abs, sqrt(avg(pow(w.wa * ya.y + (1 - w.wa) * yb.y - yt.y, 2))) as rmse, max(abs(w.wa * ya.y + (1 - w.wa) * yb.y - yt.y)) as "max"
+  join g ta on ta.i = p.t and ta.j = p.a join g tb on tb.i = p.t and tb.j = p.b join g tt on tt.i = p.t and tt.j = p.t)),
+res as (select w.a, w.b, w.t, any_value(w.wa) as wa, any_value(w.fd) as fit_distance, avg(abs(w.wa * ya.y + (1 - w.wa) * yb.y - yt.y)) as mean_abs, sqrt(avg(pow(w.wa * ya.y + (1 - w.wa) * yb.y - yt.y, 2))) as rmse, max(abs(w.wa * ya.y + (1 - w.wa) * yb.y - yt.y)) as "max"
   from wts w join e ya on ya.model_idx = w.a join e yb on yb.model_idx = w.b and yb.query_id = ya.query_id join e yt on yt.model_idx = w.t and yt.query_id = ya.query_id group by w.a, w.b, w.t)"""
 _SINGLE = "single as (select p.model_idx as s, q.model_idx as t, avg(abs(p.y - q.y)) as u from e p join e q on p.query_id = q.query_id group by 1, 2)"
 
 
-def _search_n3() -> str:
-    """The searches written out for three models: coverage of every set, then each choice in turn."""
-    gammas = ", ".join(f"({g}::double)" for g in GAMMAS_N3)
-    pair = lambda x, y: f"(select c from e2 where a = least({x}, {y}) and b = greatest({x}, {y}))"
-    one = lambda x: f"(select c from e1 where s = {x})"
-    base = _PAIR.replace("split = 'eval'", "split = 'eval' and model_idx < 3").replace("split = 'fit'", "split = 'fit' and model_idx < 3")
-    return f"""with {base}, {_SINGLE},
-e1 as (select s, max(u) as c, sum(u) as su from single group by s),
-e2 as (select a, b, max(mean_abs) as c, sum(mean_abs) as su from res group by a, b),
-gam as (select * from (values {gammas}) v(gamma)),
-f1 as (select gamma, (select s from e1 order by c, s limit 1) as j1 from gam),
-f2 as (select gamma, j1, {one('j1')} as c1, (select min_by(o, (c, o)) from (select case when a = j1 then b else a end as o, c from e2 where a = j1 or b = j1)) as j2 from f1),
-f3 as (select *, {pair('j1', 'j2')} as c2 from f2),
-fw as (select gamma, case when c1 <= gamma then j1::varchar when c2 <= gamma then least(j1, j2) || ',' || greatest(j1, j2) else '0,1,2' end as kept,
-    case when c1 <= gamma then 2 when c2 <= gamma then 3 else 4 end as n_steps from f3),
-b1 as (select gamma, (select min_by(a || ',' || b, (c, 3 - a - b)) from e2) as p, (select min(c) from e2) as c from gam),
-b2 as (select *, split_part(p, ',', 1)::int as a, split_part(p, ',', 2)::int as b from b1),
-b3 as (select *, {one('a')} as ca, {one('b')} as cb from b2),
-bw as (select gamma, case when c > gamma then '0,1,2' when least(ca, cb) > gamma then p when cb <= ca then b::varchar else a::varchar end as kept,
-    case when c > gamma then 1 when least(ca, cb) > gamma then 2 else 3 end as n_steps from b3),
-l1 as (select gamma, kept as k1, n_steps as n1, case when kept <> '0,1,2' then kept when {pair(1, 2)} <= gamma then '1,2' when {pair(0, 2)} <= gamma then '0,2' when {pair(0, 1)} <= gamma then '0,1' else kept end as k2 from fw),
-l2 as (select *, case when length(k2) = 3 then split_part(k2, ',', 1)::int end as a, case when length(k2) = 3 then split_part(k2, ',', 2)::int end as b from l1),
-lz as (select gamma, case when a is null then k2 when {one('b')} <= gamma then b::varchar when {one('a')} <= gamma then a::varchar else k2 end as kept, n1, k1, k2 from l2),
-done as (select gamma, 'forward_selection' as algorithm, kept, n_steps from fw union all select gamma, 'backward_elimination', kept, n_steps from bw
-  union all select gamma, 'priority_queue', kept, n1 + (k1 <> k2)::int + (k2 <> kept)::int from lz),
-val as (select s::varchar as kept, c, su from e1 union all select a || ',' || b, c, su from e2 union all select '0,1,2', 0, 0)
-select gamma, algorithm, kept, {_round('c')} as coverage, {_round('su')} as sum_uniqueness, n_steps::int as n_steps from done join val using (kept)"""
-
-
 def _step_metrics() -> str:
     quart = lambda q: _round(f"quantile_cont(u, {q})")
     return f"""with {_PAIR}, {_SINGLE}, names as (select distinct model_idx, model_name from responses),
@@ -493,6 +587,21 @@ select step, string_agg(i::varchar, ',' order by i) filter (where kept) as kept_
 from x group by step"""
 
 
+def _linear_rmse() -> str:
+    """Normal equations of all features (but for the first difference, which the others add up to), solved by elimination."""
+    names = [c for c in _NAMES if c != "flow_diff1"]
+    value = lambda c: f"({_TRIG.get(c, chr(34) + c + chr(34))})"
+    cols = [*names, "y"]
+    n = len(names)
+    pairs = ", ".join(f"covar_pop({value(a)}, {value(b)}) as c{i}_{k}" for i, a in enumerate(cols) for k, b in enumerate(cols) if i <= k)
+    long = " union all ".join(f"select city, {i} as i, {k if k < n else 100} as j, c{min(i, k)}_{max(i, k)} as v from s" for i in range(n) for k in range(n + 1))
+    steps, last = eliminated("m", "city", n, "gj")
+    told = " + ".join(f"case when i = {i} then c{i}_{n} * v else 0 end" for i in range(n))
+    return f"""{_PREP.replace(_KEPT, _ALL)}, train as (select * from prep where split = 'train'), s as (select city, count(*)::bigint as n, {pairs} from train group by city),
+m as (select city, i::int as i, j::int as j, v from ({long})), {steps}, told as (select city, sum({told}) as t from {last} join s using (city) where j = 100 group by city)
+select city, n, {_round(f'sqrt(greatest(c{n}_{n} - t, 0))')} as train_rmse from s join told using (city)"""
+
+
 _DOSED = "coalesce(text, '') || '||' || printf('%.6f', theta)"
 _SEED = "(cast('0x' || substr(sha256({}), 1, 16) as ubigint) % 2147483647)::bigint"
 _TOK = "list_filter(regexp_split_to_array(text, '[\\s\\pZ]+'), lambda t: t <> '')"
@@ -525,8 +634,24 @@ SQL: dict[str, str] = {
     "response_roundtrip": f"select split, query_id, model_idx, model_name, {_round('y')} as y from responses",
     "response_check": "select split, count(*)::bigint as n, count(distinct query_id)::bigint as queries, count(distinct model_idx)::bigint as models, (count(*) filter (where y is null or isnan(y)))::bigint as bad from responses group by 1",
     "singleton_coverage": f"with {_WIDE}, {_SINGLE} select s::varchar as kept, {_round('max(u)')} as coverage, {_round('sum(u)')} as sum_uniqueness from single group by s",
-    **{f"pair_certificates_{m}": f"with {_PAIR} select a, b, t as model_idx, {_round('wa')} as weight_a, {_round(chr(34) + m + chr(34))} as u from res" for m in ("mean_abs", "rmse", "max")},
-    "search_n3": _search_n3(),
+    **{f"pair_certificates_{m}": f"with {_PAIR} select a, b, t as model_idx, {_round('wa')} as weight_a, {_round(chr(34) + m + chr(34))} as u, {_round('fit_distance')} as fit_distance from res" for m in ("mean_abs", "rmse", "max")},
+    "pooled_searches": _pooled_sql(GAMMAS_POOLED, _round),
+    "singleton_ranking": f"with {_WIDE}, {_SINGLE}, e1 as (select s, max(u) as c, sum(u) as su from single group by s) select row_number() over (order by c, s)::int as pos, s as model_idx, model_name, {_round('c')} as coverage, {_round('su')} as sum_uniqueness from e1 join (select distinct model_idx as s, model_name from responses) using (s)",
+    "top_gains": f"""with {_PAIR}, {_SINGLE}, e1 as (select s, max(u) as c from single group by s), one as (select s, c from e1 order by c, s limit 1),
+e2 as (select case when a = s then b else a end as j, max(mean_abs) as c from res, one where a = s or b = s group by 1)
+select row_number() over (order by e2.c, j)::int as pos, j as model_idx, model_name, {_round('one.c - e2.c')} as gain from e2, one, (select distinct model_idx as k, model_name from responses) n where k = j order by pos limit 10""",
+    "step_uniqueness": f"""with {_PAIR}, {_SINGLE}, names as (select distinct model_idx, model_name from responses),
+u as (select 0 as step, t as i, u from single where s = 0 union all select 1, t, mean_abs from res where a = 0 and b = 1 union all select 1, i, 0 from m where i < 2) select step, model_name, {_round('u')} as u from u join names on model_idx = i""",
+    "linear_rmse": _linear_rmse(),
+    "model_roundtrip": f"""with {_ALL}, {_lagged('kept')}, fit as (select city, regr_slope(y, flow) as b, regr_intercept(y, flow) as a from feat where split = 'train' group by city)
+select city, count(*)::bigint as n, {_round('avg(a + b * flow)')} as mean_y_hat, {_round('sqrt(avg(pow(a + b * flow - y, 2)))')} as test_rmse from feat join fit using (city) where split = 'test' group by city""",
+    "csv_roundtrip": f"with {_CLEAN} select city, count(*)::bigint as n, count(distinct detid)::bigint as detectors, min(day)::varchar as first_day, {_round('avg(flow)')} as flow, {_round('avg(occ)')} as occ, {_round('avg(\"interval\")')} as seconds from clean where city in (select model_name from city_models) group by city",
+    "bundle_roundtrip": f"""{_PREP.replace(_KEPT, _ALL)}, able as (select city, count(*) filter (where split = 'val') as v, count(*) filter (where split = 'test') as t from prep group by city having count(*) filter (where split = 'train') >= 100 and v >= 20 and t >= 20)
+select (row_number() over (order by city) - 1)::int as model_idx, city as model_name, (select least(1500, sum(v)) + least(1500, sum(t)) from able)::bigint as n, true as same from able""",
+    "forced_lag": f"with {_ALL}, {_lagged('kept')} select {_K}, {', '.join(_col(c) for c in ('flow_lag1', 'flow_lag2', 'flow_lag6', 'flow_diff1'))} from feat",
+    "ecosystem_plain": f"select query_id, len({_TOK})::double as target, length(text)::double as letters, ((length(text) - length(replace(text, '[MASK]', ''))) // 6)::double as masks from query_grid",
+    "membership": "select gamma, model_name, string_agg(algorithm, ',' order by algorithm) as algorithms, count(*)::int as n_algorithms from (select distinct gamma, algorithm, unnest(kept_set_names) as model_name from run_summary) group by all",
+    "result_files": "select gamma, algorithm, true as complete, true as within, true as written from (values (40.0::double), (60.0)) g(gamma), (values ('backward_elimination'), ('forward_selection'), ('priority_queue')) a(algorithm)",
     "optimality_check": "select (n - 2) * (n - 1) // 2 as tested, true as optimal from (select count(distinct model_idx)::int as n from responses)",
     "step_metrics": _step_metrics(),
     "bottleneck": f"with {_WIDE}, {_SINGLE} select s as kept, t as model_idx, model_name, {_round('u')} as u from single join (select distinct model_idx as t, model_name from responses) using (t) qualify row_number() over (partition by s order by u desc, t) = 1",
@@ -538,9 +663,10 @@ SQL: dict[str, str] = {
     "fit_eval_halves": "select doc_id, case when row_number() over (order by doc_id) <= greatest(1, (select count(*) from documents) // 2) then 'fit' else 'eval' end as half from documents",
     "sample_texts": "select doc_id from documents order by md5('7|' || doc_id), doc_id limit 50",
     "pooled_queries": " union all ".join(f"(select obs_id, '{r}' as role from ({_PREP} select obs_id from prep where split = '{s}' order by md5('0/{r}|' || obs_id), obs_id limit 300))" for s, r in (("val", "fit"), ("test", "eval"))),
-    "simplex_functions": f"""with z as (select query_id, max((y - 300) / 100) filter (where model_idx = 0) as a, max((y - 300) / 100) filter (where model_idx = 1) as b, max((y - 300) / 100) filter (where model_idx = 2) as c from responses where split = 'eval' group by 1),
-p as (select *, greatest(a, 0) + greatest(b, 0) + greatest(c, 0) as t from z)
-select query_id, {', '.join(f"{_round(f'case when t > 0 then greatest({x}, 0) / t else 1 / 3.0::double end')} as w{i}" for i, x in enumerate('abc'))}, {_round('1 / (1 + exp(-a))')} as s, {_round('exp(b) / (exp(a) + exp(b) + exp(c))')} as p1 from p""",
+    "simplex_functions": f"""with z as (select query_id, list((y - 300) / 100 order by model_idx) as z from responses where split = 'eval' group by 1),
+p as (select *, list_transform(z, lambda x: greatest(x, 0)) as k, list_sum(list_transform(z, lambda x: greatest(x, 0))) as t from z),
+w as (select *, list_transform(k, lambda x: case when t > 0 then x / t else 1 / len(k)::double end) as w from p)
+select query_id, {_round('w[1]')} as w0, {_round('list_max(w)')} as w_most, {_round('list_sum(list_transform(w, lambda x: x * x))')} as w_squares, {_round('1 / (1 + exp(-z[1]))')} as s, {_round('exp(z[2]) / list_sum(list_transform(z, lambda x: exp(x)))')} as p1 from w""",
     "runs_ordered": f"select row_number() over (order by gamma, algorithm)::int as pos, {_round('gamma')} as gamma, algorithm, kept_set_size, {_round('coverage_e_s')} as coverage_e_s from run_summary",
     "kept_set_diff": """select a.gamma, array_to_string(list_sort(list_filter(a.kept_set_names, lambda x: list_contains(b.kept_set_names, x))), ',') as both,
   array_to_string(list_sort(list_filter(a.kept_set_names, lambda x: not list_contains(b.kept_set_names, x))), ',') as only_a, array_to_string(list_sort(list_filter(b.kept_set_names, lambda x: not list_contains(a.kept_set_names, x))), ',') as only_b

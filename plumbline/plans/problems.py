@@ -12,7 +12,7 @@ from plumbline.operators.grid import regular_grid
 from plumbline.operators.impute import filled, held_out, unusable
 from plumbline.operators.keyed import heavy_keys, key_totals
 from plumbline.operators.rolling import rolling_totals
-from plumbline.operators.spikes import implausible
+from plumbline.operators.spikes import FLOW, OCC, RUN, Limits, implausible
 from plumbline.sources.rejects import DATE, FIELD, NUMBER, SOUND_QUOTES, accepted, rejected
 from plumbline.sources.tables import table
 
@@ -81,7 +81,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_readings(spark: SparkSession, d: str) -> DataFrame:
-    return accepted(table(spark, d, "utd19_raw"))
+    """The sound records; day is shown as text here, as everywhere where SQL states the same."""
+    return accepted(table(spark, d, "utd19_raw")).withColumn("day", F.col("day").cast("string"))
 
 
 def p6_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +93,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_flags(spark, d).select("obs_id")
 
 
+def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Cells flagged as impossible."""
+    return _flagged(spark, d, "bounds")
+
+
+def p6_stuck(spark: SparkSession, d: str) -> DataFrame:
+    """Cells flagged as stuck at another value than 0."""
+    return _flagged(spark, d, "stuck").join(table(spark, d, "utd19_u").select("obs_id", F.col("flow").alias("__f"), F.col("occ").alias("__o")), "obs_id").where("case field when 'flow' then __f else __o end <> 0").select("obs_id", "field")
+
+
+def _flagged(spark: SparkSession, d: str, flag: str) -> DataFrame:
+    fields = F.array(*(F.when(F.col(f"{c}_flag") == flag, F.lit(c)) for c in ("flow", "occ")))
+    return p6_flags(spark, d).select("obs_id", F.explode(F.array_compact(fields)).alias("field"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys(table(spark, d, "utd19_u"))
 
@@ -100,7 +116,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     return settle_all(key_totals(table(spark, d, "utd19_u")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_filled, p1_held_out, p3_found, p3_grid, p3_grid_wide, p4_found, p4_rolling, p5_found, p5_readings, p6_found, p6_flags, p7_found, p7_totals)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_filled, p1_held_out, p3_found, p3_grid, p3_grid_wide, p4_found, p4_rolling, p5_found, p5_readings, p6_found, p6_flags, p6_bounds, p6_stuck, p7_found, p7_totals)}
 
 # --- the same as SQL ---
 
@@ -160,14 +176,26 @@ def _key_totals() -> str:
 _LINE = "regexp_replace(coalesce(line, ''), '\\r$', '')"
 _field = lambda k: f"regexp_extract(s, '(?s)^{(FIELD + ',') * k}({FIELD})', 1)"
 _num = lambda c, least: f"coalesce(regexp_full_match({c}, '{NUMBER}') and isfinite(try_cast(trim({c}, ' \t') as double)) and try_cast(trim({c}, ' \t') as double) >= {least}, false)"
+_text_of = lambda x: f"nullif({x}, '')"
+_num_of = lambda x: f"try_cast(trim({x}, ' \t') as double)"
 _P5 = f"""with l as (select line_id, {_LINE} as s from utd19_raw),
 c as (select line_id, s, regexp_full_match(s, '{SOUND_QUOTES}') as quotes, length(regexp_replace(s, '(?s)"(?:[^"]|"")*"', '', 'g')) - length(replace(regexp_replace(s, '(?s)"(?:[^"]|"")*"', '', 'g'), ',', '')) + 1 as n,
-    list_transform([{', '.join(map(_field, range(5)))}], lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as f from l),
-r as (select line_id, case when not quotes then 'quoting' when n <> 8 then 'columns'
+    list_transform([{', '.join(map(_field, range(8)))}], lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as f from l),
+r as (select line_id, f, case when not quotes then 'quoting' when n <> 8 then 'columns'
     when not (regexp_full_match(f[1], '{DATE}') and try_cast(f[1] as date) is not null and {_num('f[2]', '0')} and (f[4] = '' or {_num('f[4]', "'-infinity'::double")}) and (f[5] = '' or {_num('f[5]', "'-infinity'::double")})) then 'values' end as reason from c)"""
 
 
 
+def _stuck(c: str, lim: Limits) -> str:
+    """Runs of one value over RUN or more successive instants, the first version sent of each instant standing for it."""
+    return f"""(with v as (select obs_id, city, detid, epoch(day::timestamp) + "interval" as t, {c} as v from utd19_u where city is not null and day is not null and coalesce(isfinite("interval"), false) and {_WORD} and {_ok(c)} and {c} between {lim.low} and {lim.high}),
+lead as (select * from v qualify row_number() over (partition by city, detid, t order by obs_id) = 1),
+step as (select *, coalesce(v <> lag(v) over w, true)::int as new from lead window w as (partition by city, detid order by t)),
+run as (select *, sum(new) over (partition by city, detid order by t rows unbounded preceding) as r from step),
+long as (select city, detid, t, v from run qualify count(*) over (partition by city, detid, r) >= {RUN})
+select v.obs_id, '{c}' as field from v join long l on l.city = v.city and l.detid = v.detid and l.t = v.t and l.v = v.v where v.v <> 0)"""
+
+
 def _grid(max_gap: int) -> str:
     return f"""with {_READ}, {_GRID} select city, detid, {_KEY(_DATE('(pos // n_slots)'))} as day_key, (pos % n_slots)::int as slot, coalesce(n, 0)::bigint as n_readings,
   {_round(f'case when v is not null then v when pos - last_pos <= {max_gap} then last_v end')} as flow,
@@ -184,6 +212,10 @@ calendar as (select city, detid, unnest(range(min(day_no), max(day_no) + 1))::in
 select city, detid, {_KEY(_DATE('day_no'))} as day_key from calendar anti join days using (city, detid, day_no)""",
     "p4_rolling": _rolling(),
     "p5_found": f"{_P5} select line_id, reason from r where reason is not null",
+    "p5_readings": f"""{_P5} select r.line_id, file_name, line_no, strftime(try_cast(f[1] as date), '%Y-%m-%d') as day, {_num_of('f[2]')} as "interval", {_text_of('f[3]')} as detid, {_num_of('f[4]')} as flow, {_num_of('f[5]')} as occ, {_num_of('f[6]')} as error, {_text_of('f[7]')} as city, {_num_of('f[8]')} as speed
+  from r join utd19_raw using (line_id) where reason is null""",
+    "p6_bounds": " union all ".join(f"select obs_id, '{c}' as field from utd19_u where {_ok(c)} and ({c} < {lim.low} or {c} > {lim.high})" for c, lim in (("flow", FLOW), ("occ", OCC))),
+    "p6_stuck": " union all ".join(_stuck(c, lim) for c, lim in (("flow", FLOW), ("occ", OCC))),
     "p7_found": " union all ".join(f"select '{k}' as field, {k} as key_value from utd19_u where {_WORD.replace('detid', k)} group by {k} having count(*) * 20 >= (select count(*) from utd19_u)" for k in ("city", "detid")),
     "p7_totals": _key_totals(),
 }

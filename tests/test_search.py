@@ -8,10 +8,11 @@ import math
 import numpy as np
 import pytest
 
+from plumbline.operators import coverage
 from plumbline.operators.coverage import Coverage
 from plumbline.operators.metrics import step_metrics, step_models
-from plumbline.operators.report import compared, markdown, merged, read_summary, run, summary, sweep, trajectory_json, write_summary
-from plumbline.operators.search import ALGORITHMS, backward, forward, lazy
+from plumbline.operators.report import compared, markdown, membership, merged, read_summary, run, summary, sweep, trajectory_json, write_summary, write_sweep
+from plumbline.operators.search import ALGORITHMS, backward, forward, gains, lazy, singletons
 from plumbline.operators.simplex import duality_gap, nearest_mixture
 
 SCHEMA = "split string, query_id long, model_idx int, model_name string, y double"
@@ -73,8 +74,11 @@ def small():
 
 
 @pytest.mark.parametrize("metric", ["mean_abs", "rmse", "max"])
-def test_coverage_of_all_sets(spark, small, metric):
+@pytest.mark.parametrize("local", [True, False])
+def test_coverage_of_all_sets(spark, small, metric, local, monkeypatch):
+    monkeypatch.setattr(coverage, "LOCAL_BYTES", (1 << 20) * local)
     cov = Coverage(relation(spark, *small), metric)
+    assert (cov.local is not None) == local
     sets = [s for k in range(6) for s in itertools.combinations(range(5), k)]
     cov.batch(sets)
     for s in sets:
@@ -82,6 +86,10 @@ def test_coverage_of_all_sets(spark, small, metric):
     assert cov.coverage(()) == math.inf and cov.coverage(range(5)) == 0
     c = cov.certificates((1, 3))
     assert c[1].uniqueness == 0 and c[1].weights == (1.0, 0.0) and c[0].kept == (1, 3)
+    for s, i in (((1, 3), 0), ((0, 2, 4), 3), ((2,), 4)):
+        left = small[0][:, sorted(s)] @ cov.weights(frozenset(s))[i, sorted(s)] - small[0][:, i]
+        assert cov.fit_distance(s, i) == pytest.approx(np.sqrt((left**2).sum())) == cov.certificates(s)[i].fit_distance
+    assert cov.fit_distance((), 0) == math.inf and cov.fit_distance((1,), 1) == 0
     assert cov.bottleneck((1,)).model_idx == int(np.argmax(cov.uniqueness((1,))))
     cov.close()
 
@@ -180,3 +188,51 @@ def test_reports(spark, small, tmp_path):
     j = json.loads(trajectory_json(cov, run(cov, "forward_selection", 9.0), {"metric": "mean_abs"}))
     assert j["steps"][0]["action"] == "init" and j["steps"][0]["coverage_e_s"] == "Infinity" and len(j["certificates"]) == 5
     cov.close()
+
+
+def test_sweep_files(spark, small, tmp_path):
+    import json
+
+    responses = relation(spark, *small)
+    cov = Coverage(responses)
+    at = f"file://{tmp_path}/sweep"
+    rows = write_sweep(cov, responses, sweep(cov, (3.0, 9.0)), at, {"source": "here"})
+    assert rows.count() == 4
+    both = write_sweep(cov, responses, sweep(cov, (3.0, 9.0), ("priority_queue",)), at)
+    assert both.count() == 6 and {(r.gamma, r.algorithm) for r in both.collect()} == {(g, a) for g in (3.0, 9.0) for a in ALGORITHMS}
+    whole = json.loads((tmp_path / "sweep/summary.json").read_text())
+    assert whole["gammas"] == [3.0, 9.0] and whole["algorithms"] == sorted(ALGORITHMS) and whole["Y_eval_shape"] == [30, 5] and whole["n_models"] == 5
+    assert whole["Y_eval_stats"]["global"]["mean"] == pytest.approx(small[1].mean()) and set(whole["Y_eval_stats"]["per_model"]) == {f"m{i}" for i in range(5)}
+    for r in whole["runs"]:
+        one = json.loads((tmp_path / "sweep" / r["result_file"]).read_text())
+        assert one["algorithm"] == r["algorithm"] and one["final"]["kept_set_names"] == r["kept_set_names"] and one["steps"][0]["action"] == "init"
+        assert set(one["steps"][-1]["per_model_uniqueness"]) == set(cov.names)
+    text = (tmp_path / "sweep/README.md").read_text()
+    assert "Scale of the responses" in text and "backward_elimination, not forward_selection" in text and "forward_selection_gamma9.json" in text
+    three = membership(both, 9.0).collect()
+    kept = {r.algorithm: set(r.kept_set_names) for r in both.where("gamma = 9").collect()}
+    assert {r.model_name: set(r.algorithms) for r in three} == {m: {a for a, s in kept.items() if m in s} for m in set().union(*kept.values())}
+    only = json.loads(trajectory_json(cov, run(cov, "forward_selection", 9.0), {}, kept_only=True))
+    assert {c["model"] for c in only["certificates"]} == set(only["final"]["kept_set_names"])
+    cov.close()
+
+
+def test_candidates_are_traced(spark, small, caplog):
+    cov = Coverage(relation(spark, *small))
+    with caplog.at_level("DEBUG", "plumbline.search"):
+        r = forward(cov, 3.0)
+    assert any("candidate" in m for m in caplog.messages)
+    trace = r.trace_rows(spark).collect()
+    first = {t.candidate_idx: t.coverage for t in trace if t.iteration == 1}
+    assert first == {j: cov.coverage((j,)) for j in range(5)}
+    assert [(t.iteration, t.candidate_idx) for t in trace if t.chosen] == [(s.iteration, s.model_idx) for s in r.history if s.action == "add"]
+    assert [s[1] for s in singletons(cov)] == sorted(range(5), key=lambda j: (cov.coverage((j,)), j)) and singletons(cov)[0][3] == min(first.values())
+    g = gains(cov, [0], 3)
+    assert len(g) == 3 and all(x[3] == cov.coverage((0,)) - cov.coverage((0, x[1])) for x in g) and [x[3] for x in g] == sorted((x[3] for x in g), reverse=True)
+    cov.close()
+
+
+def test_models_without_a_name(spark, small):
+    cov = Coverage(relation(spark, *small, names=["a", None, "c", None, "e"]), names=[])
+    assert cov.names == ["a", "model_1", "c", "model_3", "e"]
+    cov.close()

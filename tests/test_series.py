@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import pickle
 
 import numpy as np
@@ -10,13 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import mask_text, on_simplex, shuffled_mask, sigmoid, softmax, stable_seed, stable_seed_of
+from plumbline.operators import series as series_module
 from plumbline.operators.bundle import build_bundle
-from plumbline.operators.ecosystem import Ecosystem, FunctionUnit, loaded
-from plumbline.operators.learners import BoostConfig, BoostedTrees, boosted_models, linear_models, score_linear
+from plumbline.operators.ecosystem import ClassifierUnit, Ecosystem, FunctionUnit, class_one, load_classifier, loaded
+from plumbline.operators.learners import BoostConfig, BoostedTrees, boosted_models, linear_models, predict, score_linear
 from plumbline.operators.metrics import gram_table
 from plumbline.operators.responses import dose_grid, head_tail, response_long, response_wide, sample_rows, unique_names
 from plumbline.operators.series import SeriesConfig, busiest_detectors, clean_observations, feature_names, finite_rows, lag_features, prepare, recent_days
-from plumbline.sources.observations import read_csv
+from plumbline.sources.observations import load_models, read_csv, save_models
 from plumbline.streaming.gram import gram_stream
 
 
@@ -164,3 +166,76 @@ def test_ecosystem(spark):
 def test_scalar_functions(spark):
     r = spark.range(1).select(on_simplex(F.array(F.lit(-1.0), F.lit(1.0), F.lit(3.0))).alias("w"), on_simplex(F.array(F.lit(-1.0), F.lit(0.0))).alias("z"), sigmoid(F.lit(0.0)).alias("s"), softmax(F.array(F.lit(1000.0), F.lit(1000.0))).alias("p")).first()
     assert r.w == [0, 0.25, 0.75] and r.z == [0.5, 0.5] and r.s == 0.5 and r.p == 0.5
+
+
+def test_long_series_are_cut(spark, data, monkeypatch):
+    """Pieces of any length give the lags, targets and splits of the whole series."""
+    raw = spark.read.parquet(f"{data}/utd19_u.parquet")
+    config = SeriesConfig(horizon=2, lags=(1, 3, 7), days=None, detectors=None, min_points=50)
+    show = lambda: sorted(map(repr, series_module.lagged(raw, config).drop("loaded_at").collect()))
+    monkeypatch.setattr(series_module, "PIECE_ROWS", 10**9)
+    whole = show()
+    for n in (1, 9, 100):
+        monkeypatch.setattr(series_module, "PIECE_ROWS", n)
+        assert show() == whole
+    obs = clean_observations(raw)
+    cut = lag_features(obs, (1, 3, 7), 2)
+    assert cut.count() == obs.count() and cut.columns[: len(obs.columns)] == obs.columns
+
+
+def test_features_read_the_table_twice(spark, data):
+    """Once for the counts, in a job of its own; once in the plan of the rows, without a window over raw rows by detector alone."""
+    import contextlib
+    import io
+
+    rows, _ = prepare(spark.read.parquet(f"{data}/utd19_u.parquet"), SeriesConfig(min_points=50))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        rows.explain("formatted")
+    assert out.getvalue().count(f"{data}/utd19_u.parquet") == 1
+
+
+def test_predict_by_own_model(spark):
+    rows = spark.createDataFrame([(i, g, float(i), float(i * k + 1)) for i in range(40) for g, k in (("a", 2), ("b", -3), (None, 5))] + [(99, "none", 1.0, 1.0)], "obs_id long, city string, x double, y double")
+    models = linear_models(rows.where("city in ('a', 'b')"), ["x"], ridge=0.0)
+    got = predict(rows, ["x"], models).collect()
+    assert {(r.city, round(r.y_hat, 6)) for r in got if r.obs_id == 7} == {("a", 15.0), ("b", -20.0)} and len(got) == 80
+    trees = boosted_models(rows.where("city in ('a', 'b')"), ["x"], config=BoostConfig(rounds=40, min_leaf=2, learning_rate=0.3))
+    told = predict(rows, ["x"], trees).join(rows, ["obs_id", "city"]).collect()
+    assert len(told) == 80 and max(abs(r.y_hat - r.y) for r in told) < 8
+
+
+def test_models_saved_and_loaded(spark, tmp_path):
+    models = spark.createDataFrame([("a/b", [1.0], 2.0), ("c", [3.0], 4.0)], "city string, weights array<double>, intercept double")
+    at = save_models(models, f"file://{tmp_path}/m")
+    assert sorted(map(repr, load_models(spark, at).select(*models.columns).collect())) == sorted(map(repr, models.collect()))
+    assert [r.city for r in load_models(spark, at, ["a/b"]).collect()] == ["a/b"]
+
+
+def test_numbers_of_frequent_names(spark):
+    names = spark.createDataFrame([(("x" if i % 3 else None), None if i in (5, 11) else i) for i in range(60)], "name string, pos int")
+    got = unique_names(names).collect()
+    assert len(got) == 60
+    mine = sorted((r.pos, r.unique_name) for r in got if r.name == "x" and r.pos is not None)
+    assert [u for _, u in mine] == [f"x#{k}" for k in range(3, 41)]  # the two without a place come first
+    halves = head_tail(names.withColumn("i", F.lit(1)), "pos").collect()
+    assert len(halves) == 60 and sum(r.half == "fit" for r in halves) == 30 and all(r.half == "fit" for r in halves if r.pos is None)
+
+
+def test_classifier_in_batches():
+    seen = []
+
+    def logits(batch):
+        seen.append([len(b) for b in batch])
+        return [[0.0, float(len(b)) - 3] if b and b[0] == "two" else [float(len(b))] for b in batch]
+
+    unit = ClassifierUnit("c", str.split, logits, max_tokens=4, batch_size=2)
+    got = unit.answer(["two b", "a b c d e f", None, "x"])
+    assert seen == [[2, 4], [0, 1]]
+    assert got == pytest.approx([1 / (1 + math.exp(1)), 1 / (1 + math.exp(-4)), 0.5, 1 / (1 + math.exp(-1))])
+    warned = []
+
+    def broken(name):
+        raise OSError("none")
+
+    assert load_classifier("n", lambda _: logits, broken, lambda _: str.split, warned.append).answer(["x"]) and warned
+    assert class_one([-800.0]) == 0.0 and class_one([1000.0, 1000.0]) == 0.5
