@@ -11,6 +11,7 @@ were merged. A sketch with no item above level 0 is exact.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def _group_codes(cols: list[pa.Array]) -> tuple[np.ndarray, list[pa.Array], np.n
     return code, [c.take(pa.array(first)) for c in cols], first
 
 
-def _compacted(codes: np.ndarray, levels: np.ndarray, items: np.ndarray, k: int, salts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by group, level and value, with no level above its capacity."""
+def _compacted(codes: np.ndarray, levels: np.ndarray, items: np.ndarray, k: int, salts: list[int], block: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by group, level and value, with no level above its capacity. block: the task and its block, so that blocks alike draw coins of their own."""
     order = np.lexsort((items, levels, codes))
     codes, levels, items = codes[order], levels[order], items[order]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -61,7 +63,7 @@ def _compacted(codes: np.ndarray, levels: np.ndarray, items: np.ndarray, k: int,
             if x.size > k:
                 even = x.size - x.size % 2
                 # The odd one out stays; which end it comes from, and where the choice starts, is drawn anew each time.
-                rng = np.random.default_rng([salts[g], h, x.size, int(np.abs(np.float64(x[x.size // 2]).view(np.int64)) % (1 << 31))])
+                rng = np.random.default_rng([salts[g], *block, h, x.size, int(np.abs(np.float64(x[x.size // 2]).view(np.int64)) % (1 << 31))])
                 skip, start = int(rng.integers(0, 2)) * (x.size % 2), int(rng.integers(0, 2))
                 core = x[skip : skip + even]
                 held[h] = np.r_[x[:skip], x[skip + even :]]
@@ -81,7 +83,7 @@ def _sketcher(keys: int, k: int, seed: int, raw: bool):
     Raw blocks of any order are sketched one by one. Sketch rows come sorted by keys: whole groups are gathered, so each group comes out once.
     """
 
-    def sketch(cols: list[pa.Array]) -> pa.RecordBatch:
+    def sketch(cols: list[pa.Array], block: tuple[int, int]) -> pa.RecordBatch:
         codes, names, _ = _group_codes(cols[:keys])
         if raw:
             levels, items = np.zeros(codes.size, np.int64), np.asarray(cols[keys].to_numpy(zero_copy_only=False), float)
@@ -90,7 +92,7 @@ def _sketcher(keys: int, k: int, seed: int, raw: bool):
             levels, items = np.repeat(np.asarray(cols[keys].to_numpy(zero_copy_only=False), np.int64), size), np.asarray(pc.list_flatten(cols[keys + 1]).to_numpy(zero_copy_only=False), float)
             codes = np.repeat(codes, size)
         salts = [zlib.crc32(repr((seed, *t)).encode()) for t in zip(*(c.to_pylist() for c in names))] if codes.size > k else []
-        codes, levels, items = _compacted(codes, levels, items, k, salts)
+        codes, levels, items = _compacted(codes, levels, items, k, salts, block)
         at = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (levels[1:] != levels[:-1])]) if codes.size else np.zeros(0, int)
         owner = pa.array(codes[at])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[at, codes.size].astype(np.int32)), pa.array(items))
@@ -103,6 +105,8 @@ def _sketcher(keys: int, k: int, seed: int, raw: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         size = 0
+        context = TaskContext.get()
+        task, blocks = context.partitionId() if context else 0, itertools.count()  # the same if the task runs again
         for b in batches:
             if not b.num_rows:
                 continue
@@ -118,14 +122,14 @@ def _sketcher(keys: int, k: int, seed: int, raw: bool):
                 other = np.flatnonzero(codes != codes[-1])
                 cut = int(other[-1]) + 1 if other.size else 0
             if cut:
-                yield sketch([c.slice(0, cut) for c in cols])
+                yield sketch([c.slice(0, cut) for c in cols], (task, next(blocks)))
             elif not raw:  # one group alone: what is there is compacted, and gathering goes on
-                cols = sketch(cols).columns
+                cols = sketch(cols, (task, next(blocks))).columns
                 n = len(cols[0])
             waiting = [pa.RecordBatch.from_arrays([c.slice(cut) for c in cols], names=waiting[0].schema.names)] if cut < n else []
             size = sum(len(pc.list_flatten(w.column(keys + 1))) for w in waiting) if not raw else 0
         if waiting:
-            yield sketch(whole(waiting))
+            yield sketch(whole(waiting), (task, next(blocks)))
 
     return run
 
@@ -186,3 +190,16 @@ def quantiles(sketches: DataFrame, keys: tuple[str, ...], probs: tuple[float, ..
         lambda acc: acc["v"],
     )
     return held.select(*keys, "n", *(one(p).alias(f"q_{100 * p:g}".replace(".", "_")) for p in probs), F.when(F.col("__top") > 0, rank_bound(k, delta)).otherwise(0.0).alias("rank_bound"))
+
+
+def within_bounds(rows: DataFrame, answers: DataFrame, keys: tuple[str, ...], value: str, probs: tuple[float, ...]) -> DataFrame:
+    """(keys..., n, rank_bound, within): if the true rank of every percentile of quantiles() is as near as rank_bound says, by counting all values on either side of it. Groups with a null key are left out."""
+    own = answers.select(*(F.col(k).alias(f"__{k}") for k in keys), "rank_bound", F.col("n").alias("__n"), *(F.col(f"q_{100 * p:g}".replace(".", "_")).alias(f"__q{i}") for i, p in enumerate(probs)))
+    met = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).join(own, [F.col(k) == F.col(f"__{k}") for k in keys])
+    sides = {f"{s}{i}": F.count_if(F.col(value) < F.col(f"__q{i}")) if s == "low" else F.count_if(F.col(value) <= F.col(f"__q{i}")) for i in range(len(probs)) for s in ("low", "high")}
+    counts = met.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__n").alias("__n"), F.max("rank_bound").alias("rank_bound"), *(c.alias(f"__{k}") for k, c in sides.items()))
+    good = F.col("n") == F.col("__n")
+    for i, p in enumerate(probs):  # an answer stands for the ranks of all values equal to it; one rank is lost to rounding
+        slack = F.col("rank_bound") * F.col("n") + 1
+        good = good & (F.col(f"__low{i}") <= p * F.col("n") + slack) & (F.col(f"__high{i}") >= p * F.col("n") - slack)
+    return counts.select(*keys, "n", "rank_bound", good.alias("within"))

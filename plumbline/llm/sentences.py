@@ -58,7 +58,8 @@ def _inside(o: str, c: str) -> list[tuple[str | None, str | None, str]]:
     """
     own, rest = f"[^{o}{c}{BREAK}", rf"[^\p{{L}}\p{{N}}{o}{c}]"
     return [
-        (o, rf"([\p{{L}}\p{{N}}{o}{c}])(?={rest}++(?:[{o}{c}]|\z))", rf"$1{TAIL}"),
+        (o, rf"([{STOPS}]{rest}*+)", rf"{TAIL}$1"),
+        (TAIL, rf"{TAIL}([{STOPS}]{rest}*+)(?=[\p{{L}}\p{{N}}])", "$1"),
         (o, rf"((?:[{o}](?={own}]*+[{c}])|\G(?!\A)){own}{STOPS}{TAIL}]*+)[{STOPS}]", rf"$1{STOP}"),
         (TAIL, None, ""),
     ]
@@ -109,7 +110,7 @@ RULES = [
     # Of a long run of stops the last four are enough.
     (STOPS, rf"[{STOPS}](?=[{STOPS}]{{4}})", STOP),
     # A bracket opened within a sentence; a quotation after a colon.
-    ("(（", rf"([\p{{L}}\p{{M}}\p{{N}},;:%]{WS}{{0,2}}[(（][^()（）{BREAK}]*+)(?=[)）])", rf"$1{KEEP}"),
+    ("(（", rf"([(（](?<=[\p{{L}}\p{{M}}\p{{N}},;:%]{WS}{{0,2}}[(（])[^()（）{BREAK}]*+)(?=[)）])", rf"$1{KEEP}"),
     ("“«", rf"([:：][“«][^“”«»{BREAK}]*+)(?=[”»])", rf"$1{KEEP}"),
     (STOPS, rf"[{STOPS}](?:{'|'.join(_MASKED)})", STOP),
     (KEEP, None, ""),
