@@ -31,11 +31,11 @@ from plumbline.operators.readings import DAY_S
 from plumbline.session import drop, scratch
 
 FLOW_OFF, OCC_OFF = 5.0, 0.005
-FLOW_BIN, OCC_BIN = 1 / 6, 1 / 4  # widths of the cells' bins, in logarithms
+FLOW_BIN, OCC_BIN = 1 / 3, 1 / 2  # widths of the cells' bins, in logarithms
 FLOW_MAX, OCC_MAX = 12_000.0, 1.0  # beyond: not used for fitting
 HOURS = 24
 CELLS_AT_ONCE = 60_000
-#: Of the search for missing detectors: rows asked for in a group, and detectors it holds (more, if else over HEAVY cities would have to be parted).
+#: Of the search for missing detectors: rows asked for in a group on an average day, and detectors it holds (more, if else over HEAVY cities would have to be parted).
 ASKED, HELD, HEAVY = 20_000, 5_000, 1_000
 SCORES_AT_ONCE = 2_000_000
 NO_DAY = -(1 << 30)
@@ -220,11 +220,12 @@ def _variables(raw: DataFrame) -> dict[str, Column]:
 @dataclass
 class Fitted:
     """mixture; detectors: city, detid, n, a, b, w; days: city, day_no, detid, n_day, n, a, b, w, align, part, the last two log probabilities of the detector's habits;
-    parts: for cities with very many rows to name or detectors, into how many parts either is to be cut."""
+    present: the cities' days with named readings; parts: for cities with very many rows to name or detectors, into how many parts either is to be cut."""
 
     mixture: Mixture
     detectors: DataFrame
     days: DataFrame
+    present: DataFrame
     parts: dict[str, tuple[int, int]]
 
 
@@ -267,18 +268,20 @@ def fit(raw: DataFrame, classes: int = 12, steps: int = 60, turns: int = 3, rise
     rows.where("detid is not null").groupBy("city", "detid", "day_no").agg(F.count("*").alias("n_day"), *(c.alias(k) for k, c in counts.items())).write.parquet(f"{folder}/days")
     by_day = spark.read.parquet(f"{folder}/days")
     total = by_day.groupBy("city", "detid").agg(*(F.array(*(F.sum(f"{h}_{i}") for i in range(n))).alias(h) for h, n in habits.items()))
-    share = lambda h: F.transform(h, lambda c: F.log((c + HABIT) / (F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s + x) + HABIT * habits[h]))).alias(h)
-    whole = detectors.join(total.select("city", "detid", *(share(h) for h in habits)), ["city", "detid"])
+    share = lambda h: F.transform(h, lambda c: F.log((c + HABIT) / (F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s + x) + HABIT * habits[h])).cast("float")).alias(h)
+    whole = detectors.withColumn("w", F.col("w").cast("array<float>")).join(total.select("city", "detid", *(share(h) for h in habits)), ["city", "detid"])
     undated = detectors.select("city", "detid", F.lit(NO_DAY).alias("day_no"), F.col("n").alias("n_day"))  # for rows without a day: all of its readings
     days = by_day.where(F.col("day_no") != NO_DAY).select("city", "detid", "day_no", "n_day").unionByName(undated).join(whole, ["city", "detid"])
 
-    cities = every.groupBy("city").agg(F.sum(F.when(F.col("detid").isNull(), F.col("n"))).alias("asked"), F.count("detid").alias("held"))
+    present = by_day.where(F.col("day_no") != NO_DAY).select("city", "day_no").distinct()
+    on = by_day.groupBy("city").agg(F.count_distinct("day_no").alias("on"))
+    cities = every.groupBy("city").agg(F.sum(F.when(F.col("detid").isNull(), F.col("n"))).alias("asked"), F.count("detid").alias("held")).join(on, "city").select("city", (F.col("asked") / F.col("on")).cast("long").alias("asked"), "held")
     sums = cities.agg(F.sum("asked"), F.sum("held")).first()
     most_asked, most_held = max(ASKED, (sums[0] or 0) // HEAVY), max(HELD, (sums[1] or 0) // HEAVY)
     heavy = cities.where((F.col("asked") > most_asked) | (F.col("held") > most_held)).collect()  # 2 * HEAVY at most
     parts = {r.city: (1 + (r.asked or 0) // most_asked, 1 + r.held // most_held) for r in heavy}
     drop(spark, f"{folder}/cells")
-    return Fitted(m, detectors, days, parts)
+    return Fitted(m, detectors, days, present, parts)
 
 
 def _scores(m: Mixture, a: np.ndarray, b: np.ndarray, x: bool, y: bool) -> np.ndarray:
@@ -301,7 +304,7 @@ ASKED_BY = ("city", "day_no", "hour", "weekend", "align", "part", "x", "y")
 
 
 def _modes(m: Mixture):
-    """The likeliest detector of each row asked for, among those of its city with readings on its day, and how likely it is."""
+    """The likeliest detector of each row asked for, among those of its city with readings on its day (of all its city, if there are none), and how likely it is."""
 
     def run(key: tuple, asked: pd.DataFrame, dets: pd.DataFrame) -> pd.DataFrame:
         out = asked[list(ASKED_BY)].copy()
@@ -367,7 +370,7 @@ def filled(raw: DataFrame, classes: int = 12, steps: int = 60) -> DataFrame:
     city that have readings on its day; equal rows count once. Groups are (city, day), and cities with more rows to name or more detectors than a group should hold are parted further.
 
     Rows without city: flow and occ filled from the classes alone, detid stays null. Rows without day or interval: hour and day are integrated
-    out. Cities without any known detector (on that day: rows of another day are no candidates): detid stays null. Columns flow_filled, occ_filled, detid_filled and unfilled
+    out. Cities without any known detector: detid stays null. Columns flow_filled, occ_filled, detid_filled and unfilled
     of the input are replaced. Empty input: empty output.
     """
     got = fit(raw, classes, steps)
@@ -386,9 +389,12 @@ def filled(raw: DataFrame, classes: int = 12, steps: int = 60) -> DataFrame:
     parts = lambda i: F.lit(1) if cut is None else F.coalesce(F.get(F.try_element_at(cut, F.col("city")), F.lit(i)), F.lit(1))
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asked = nameless.where("city is not null").select("city", *(F.col(f"__key_{k}").alias(k) for k in own)).distinct()
+    # On a day without any reading of the city that has a name, all its detectors are asked for, as for rows without a day.
+    present = got.present.select(F.col("city").alias("__c"), F.col("day_no").alias("__d"))
+    asked = asked.join(present, (F.col("city") == F.col("__c")) & (F.col("day_no") == F.col("__d")), "left").withColumn("at", F.coalesce("__d", F.lit(NO_DAY))).drop("__c", "__d")
     asked = asked.withColumn("salt", F.pmod(F.xxhash64(*ASKED_BY), parts(0)).cast("int")).withColumn("block", upto(parts(1)))
-    held = got.days.withColumn("block", F.pmod(F.xxhash64("detid"), parts(1)).cast("int")).withColumn("salt", upto(parts(0)))
-    group = ("city", "day_no", "salt", "block")
+    held = got.days.withColumnRenamed("day_no", "at").withColumn("block", F.pmod(F.xxhash64("detid"), parts(1)).cast("int")).withColumn("salt", upto(parts(0)))
+    group = ("city", "at", "salt", "block")
     kinds = "city string, day_no int, hour int, weekend int, align int, part int, x double, y double, guess string, score double"
     scored = asked.groupBy(*group).cogroup(held.groupBy(*group)).applyInPandas(_modes(m), kinds)
     guesses = scored.groupBy(*ASKED_BY).agg(F.min(F.struct((-F.col("score")).alias("s"), "guess")).alias("best")).select(*ASKED_BY, F.col("best.guess").alias("__guess"))

@@ -318,7 +318,8 @@ def test_missing_detector_is_the_mode_of_its_row(spark, data, monkeypatch, parte
     same = []
     for r in asked.itertuples(index=False):
         r = dict(zip(asked.columns, r))
-        d = by[(r["city"], r["_day_no"])]
+        d = by.get((r["city"], r["_day_no"]))
+        d = by[(r["city"], impute.NO_DAY)] if d is None else d
         one = np.ones(len(d))
         logs = m.log_density((one * r["_hour"]).astype(int), (one * r["_weekend"]).astype(int), one * r["_x"] - d.a.to_numpy(), one * r["_y"] - d.b.to_numpy())
         p = np.log((np.exp(logs) * (np.stack(d.w) + 1e-12)).sum(1)) + np.log(d.n_day.to_numpy(float))
@@ -342,7 +343,7 @@ def test_fill_edges(spark):
     assert len(got) == len(BASE) + 3 and got[len(BASE) + 1].detid == "c" and got[len(BASE) + 1].flow_filled is True
     last = got[len(BASE) + 3]
     assert last.flow is not None and last.occ is not None and last.detid is None and not last.detid_filled and last.unfilled == ["detid"]
-    assert all(r.unfilled == [] for r in got.values() if r.city == "x" and r.day is not None)
+    assert all(r.unfilled == [] and r.detid is not None for r in got.values() if r.city == "x")
     found = {tuple(r) for r in unusable(filled(t)).collect()}
     assert {(len(BASE) + 3, f) for f in ("flow", "occ", "detid")} <= found and (len(BASE) + 1, "detid") in found
 
