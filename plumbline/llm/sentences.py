@@ -58,7 +58,7 @@ def _inside(o: str, c: str) -> list[tuple[str | None, str | None, str]]:
     """
     own, rest = f"[^{o}{c}{BREAK}", rf"[^\p{{L}}\p{{N}}{o}{c}]"
     return [
-        (o, rf"([{STOPS}]{rest}*+)", rf"{TAIL}$1"),
+        (o, rf"((?:[{o}](?={own}]*+[{c}])|\G(?!\A)){own}{STOPS}]*+)([{STOPS}]{rest}*+)", rf"$1{TAIL}$2"),
         (TAIL, rf"{TAIL}([{STOPS}]{rest}*+)(?=[\p{{L}}\p{{N}}])", "$1"),
         (o, rf"((?:[{o}](?={own}]*+[{c}])|\G(?!\A)){own}{STOPS}{TAIL}]*+)[{STOPS}]", rf"$1{STOP}"),
         (TAIL, None, ""),
@@ -67,6 +67,7 @@ def _inside(o: str, c: str) -> list[tuple[str | None, str | None, str]]:
 
 # Stops that end no sentence. Each alternative looks behind only once a stop is found.
 _MASKED = [
+    rf"(?=[{STOPS}]{{4}})",  # of a long run of stops the last four are enough
     r"(?<=\p{N}[.])(?=\p{N})",  # decimals, versions, addresses
     rf"(?<={_WORD_START}\p{{L}}[.])(?={WS}{{0,2}}\p{{L}}[.])",  # letters set apart (z. B., i. d. R.)
     rf"(?<={_WORD_START}\p{{Lu}}[.])(?={WS}{{0,2}}\p{{L}})",  # initials
@@ -107,8 +108,6 @@ RULES = [
     # A number that opens a heading or item.
     ("#-*+•‣◦>", rf"(?<![^{BREAK}])([ \t]*{_MARKS}[ \t]+[0-9]{{1,3}})[.](?={WS})", rf"$1{STOP}"),
     *(rule for o, c in (("“", "”"), ("«", "»"), ("「", "」"), ("(（", ")）")) for rule in _inside(o, c)),
-    # Of a long run of stops the last four are enough.
-    (STOPS, rf"[{STOPS}](?=[{STOPS}]{{4}})", STOP),
     # A bracket opened within a sentence; a quotation after a colon.
     ("(（", rf"([(（](?<=[\p{{L}}\p{{M}}\p{{N}},;:%]{WS}{{0,2}}[(（])[^()（）{BREAK}]*+)(?=[)）])", rf"$1{KEEP}"),
     ("“«", rf"([:：][“«][^“”«»{BREAK}]*+)(?=[”»])", rf"$1{KEEP}"),
