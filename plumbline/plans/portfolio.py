@@ -149,7 +149,7 @@ def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Readings written as CSV and read back, with the columns the pipeline needs and the cities that have models, cleaned."""
+    """Readings written as CSV and read back, with the columns the pipeline needs and the cities that have models, cleaned. An empty cell of a file is a missing one."""
     at = scratch(spark, "csv")
     _raw(spark, d).select(*(F.col(c).cast("string").alias(c) for c in ("day", "interval", "detid", "flow", "occ", "error", "city", "speed"))).write.csv(at, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     cities = [r.model_name for r in table(spark, d, "city_models").collect()]
@@ -645,7 +645,7 @@ u as (select 0 as step, t as i, u from single where s = 0 union all select 1, t,
     "linear_rmse": _linear_rmse(),
     "model_roundtrip": f"""with {_ALL}, {_lagged('kept')}, fit as (select city, regr_slope(y, flow) as b, regr_intercept(y, flow) as a from feat where split = 'train' group by city)
 select city, count(*)::bigint as n, {_round('avg(a + b * flow)')} as mean_y_hat, {_round('sqrt(avg(pow(a + b * flow - y, 2)))')} as test_rmse from feat join fit using (city) where split = 'test' group by city""",
-    "csv_roundtrip": f"with {_CLEAN} select city, count(*)::bigint as n, count(distinct detid)::bigint as detectors, min(day)::varchar as first_day, {_round('avg(flow)')} as flow, {_round('avg(occ)')} as occ, {_round('avg(\"interval\")')} as seconds from clean where city in (select model_name from city_models) group by city",
+    "csv_roundtrip": f"with {_CLEAN} select city, count(*)::bigint as n, count(distinct detid)::bigint as detectors, min(day)::varchar as first_day, {_round('avg(flow)')} as flow, {_round('avg(occ)')} as occ, {_round('avg(\"interval\")')} as seconds from clean where city in (select model_name from city_models) and detid <> '' group by city",
     "bundle_roundtrip": f"""{_PREP.replace(_KEPT, _ALL)}, able as (select city, count(*) filter (where split = 'val') as v, count(*) filter (where split = 'test') as t from prep group by city having count(*) filter (where split = 'train') >= 100 and v >= 20 and t >= 20)
 select (row_number() over (order by city) - 1)::int as model_idx, city as model_name, (select least(1500, sum(v)) + least(1500, sum(t)) from able)::bigint as n, true as same from able""",
     "forced_lag": f"with {_ALL}, {_lagged('kept')} select {_K}, {', '.join(_col(c) for c in ('flow_lag1', 'flow_lag2', 'flow_lag6', 'flow_diff1'))} from feat",
