@@ -18,7 +18,9 @@ def has_number(c: Column, codes: tuple[float, ...] = NO_VALUE_CODES) -> Column:
 
 def has_word(c: Column, words: tuple[str, ...] = NO_VALUE_WORDS) -> Column:
     """True or false, never null: not null, not blank, and no word for "no value" in any case of letters."""
-    bare = F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    # Nothing is cut off between a first and a last character from ! to ~, and there the search for spaces is left out, which takes longer than all else.
+    plain = (c >= F.lit("!")) & (c < F.lit("\x7f")) & F.substring(c, -1, 1).between("!", "~")
+    bare = F.lower(F.when(plain, c).otherwise(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")))
     return F.coalesce(~bare.isin(*words), F.lit(False))
 
 

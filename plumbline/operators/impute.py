@@ -34,7 +34,7 @@ FLOW_OFF, OCC_OFF = 5.0, 0.005
 FLOW_BIN, OCC_BIN = 1 / 3, 1 / 2  # widths of the cells' bins, in logarithms
 FLOW_MAX, OCC_MAX = 12_000.0, 1.0  # beyond: not used for fitting
 HOURS = 24
-CELLS_AT_ONCE = 60_000
+CELLS_AT_ONCE = 20_000
 #: Of the search for missing detectors: rows asked for in a group on an average day, and detectors it holds (more, if else over HEAVY cities would have to be parted).
 ASKED, HELD, HEAVY = 20_000, 5_000, 1_000
 SCORES_AT_ONCE = 2_000_000
@@ -87,6 +87,12 @@ class Mixture:
                 out[rows] -= 0.5 * (d[rows] ** 2 / s + np.log(2 * np.pi * s))
         return out
 
+    def calendar(self) -> np.ndarray:
+        """K x 75: log probabilities of hour and weekend together, at (hour % 25) * 3 + weekend % 3, so that -1 has a place for unknown."""
+        zero = np.zeros((self.weight.size, 1))
+        hour, weekend = np.c_[np.log(self.hour + 1e-12), zero], np.c_[np.log(self.weekend + 1e-12), zero]
+        return (hour[:, :, None] + weekend[:, None, :]).reshape(zero.size, -1)
+
     def conditional(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
         """n x K expectations of x, y and their conditional (co)variances, given what is known."""
         mx, my = self.mean[:, 0], self.mean[:, 1]
@@ -118,18 +124,52 @@ def _softmax(logs: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def _detector_weights(m: Mixture, own: np.ndarray, size: int, n: np.ndarray, logs: np.ndarray, turns: int) -> tuple[np.ndarray, np.ndarray]:
-    """w_d of the detectors whose cells these are (own numbers them), and each cell's class probabilities."""
-    w = np.tile(m.weight, (size, 1))
+@dataclass
+class _Cells:
+    """Cells of whole detectors, one after the other; what is about classes is K x cells, so that all work runs along the cells."""
+
+    density: np.ndarray  # of a cell in each class without weights, divided by the greatest of its classes
+    top: np.ndarray  # logarithm of that
+    powers: np.ndarray  # 1, x, y, x * x, x * y, y * y; 0 instead of x and y where either is missing
+    when: np.ndarray  # place in the calendar
+    gaps: np.ndarray  # cells where x or y is missing
+
+    @classmethod
+    def of(cls, m: Mixture, hour: np.ndarray, weekend: np.ndarray, x: np.ndarray, y: np.ndarray) -> _Cells:
+        gaps = np.flatnonzero(np.isnan(x) | np.isnan(y))
+        u, v = x.copy(), y.copy()
+        u[gaps] = v[gaps] = 0.0
+        powers = np.stack([np.ones(u.size), u, v, u * u, u * v, v * v])
+        when = hour.astype(np.intp) % (HOURS + 1) * 3 + weekend % 3
+        logs = _scores(m, np.zeros(1), np.zeros(1), True, True).T @ powers
+        logs += np.take(m.calendar(), when, 1)
+        if gaps.size:
+            logs[:, gaps] = m.log_density(hour[gaps], weekend[gaps], x[gaps], y[gaps]).T
+        top = logs.max(0)
+        logs -= top
+        return cls(np.exp(logs, out=logs), top, powers, when, gaps)
+
+    def weighted(self, w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Densities times the weights of each cell's detector. The class with density 1 keeps every sum over classes above 0."""
+        out = np.repeat(w + 1e-12, sizes, 1)
+        out *= self.density
+        return out
+
+
+def _detector_weights(m: Mixture, cells: _Cells, sizes: np.ndarray, n: np.ndarray, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """K x detectors: w_d of the detectors that have so many cells each (one at least); K x cells: readings of each cell by class."""
+    w = np.tile(m.weight[:, None], (1, sizes.size))
+    starts = np.cumsum(sizes) - sizes
     for _ in range(turns):
-        r = _softmax(logs + np.log(w + 1e-12)[own])
-        held = np.stack([np.bincount(own, n * r[:, k], size) for k in range(m.weight.size)], 1) + PRIOR * m.weight
-        w = held / held.sum(1, keepdims=True)
+        r = cells.weighted(w, sizes)
+        r *= n / r.sum(0)
+        held = np.add.reduceat(r, starts, 1) + PRIOR * m.weight[:, None]
+        w = held / held.sum(0)
     return w, r
 
 
 def _unpack(batch: pa.RecordBatch, a0: float, b0: float) -> Iterator[tuple[int, int, np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
-    """Pieces of whole detectors: first and last row, number of each cell's detector, the cells, the detectors' means."""
+    """Pieces of whole detectors: first and last row, how many cells each detector has, the cells, the detectors' means."""
     col = batch.column(batch.schema.get_field_index("cells"))
     ends = np.asarray(col.offsets)
     cells = col.values
@@ -141,12 +181,12 @@ def _unpack(batch: pa.RecordBatch, a0: float, b0: float) -> Iterator[tuple[int,
         while stop < batch.num_rows and ends[stop + 1] - ends[start] <= CELLS_AT_ONCE:
             stop += 1
         lo, hi = ends[start], ends[stop]
-        own = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
+        sizes = np.diff(ends[start : stop + 1])
         a, b = (np.where(np.isnan(x[start:stop]), x0, x[start:stop]) for x, x0 in zip(means, (a0, b0)))
         c = {k: v[lo:hi] for k, v in f.items()}
         n = c["n"].astype(float)
-        c["x"], c["y"] = c["sx"] / n - a[own], c["sy"] / n - b[own]
-        yield start, stop, own, c, a, b
+        c["n"], c["x"], c["y"] = n, c["sx"] / n - np.repeat(a, sizes), c["sy"] / n - np.repeat(b, sizes)
+        yield start, stop, sizes, c, a, b
         start = stop
 
 
@@ -155,21 +195,19 @@ def _expect(m: Mixture, turns: int):
         k = m.weight.size
         total, likelihood, count = np.zeros((k, 8 + HOURS)), 0.0, 0.0
         for batch in batches:
-            for start, stop, own, c, _, _ in _unpack(batch, m.a, m.b):
-                n, x, y = c["n"].astype(float), c["x"], c["y"]
-                logs = m.log_density(c["hour"], c["weekend"], x, y)
-                w, r = _detector_weights(m, own, stop - start, n, logs, turns)
-                logs += np.log(w + 1e-12)[own]
-                top = logs.max(1)
-                likelihood += float(n @ (top + np.log(np.exp(logs - top[:, None]).sum(1))))
+            for _, _, sizes, c, _, _ in _unpack(batch, m.a, m.b):
+                n, cells = c["n"], _Cells.of(m, c["hour"], c["weekend"], c["x"], c["y"])
+                w, r = _detector_weights(m, cells, sizes, n, turns)
+                likelihood += float(n @ (cells.top + np.log(cells.weighted(w, sizes).sum(0))))
                 count += float(n.sum())
-                r *= n[:, None]
-                ex, ey, vx, vy, vxy = m.conditional(x, y)
-                total[:, 0] += r.sum(0)
-                for j in range(k):
-                    total[j, 1 : 1 + HOURS] += np.bincount(np.maximum(c["hour"], 0), r[:, j] * (c["hour"] >= 0), HOURS)
-                    total[j, 1 + HOURS : 3 + HOURS] += np.bincount(np.maximum(c["weekend"], 0), r[:, j] * (c["weekend"] >= 0), 2)
-                total[:, 3 + HOURS :] += np.stack([(r * ex).sum(0), (r * ey).sum(0), (r * (ex**2 + vx)).sum(0), (r * (ey**2 + vy)).sum(0), (r * (ex * ey + vxy)).sum(0)], 1)
+                by = np.stack([np.bincount(cells.when, q, (HOURS + 1) * 3) for q in r]).reshape(k, HOURS + 1, 3)
+                total[:, 1 : 1 + HOURS] += by[:, :HOURS].sum(2)
+                total[:, 1 + HOURS : 3 + HOURS] += by[:, :, :2].sum(1)
+                total[:, [0, *range(3 + HOURS, 8 + HOURS)]] += (r @ cells.powers.T)[:, [0, 1, 2, 3, 5, 4]]
+                if cells.gaps.size:
+                    q = r[:, cells.gaps].T
+                    ex, ey, vx, vy, vxy = m.conditional(c["x"][cells.gaps], c["y"][cells.gaps])
+                    total[:, 3 + HOURS :] += np.stack([(q * ex).sum(0), (q * ey).sum(0), (q * (ex**2 + vx)).sum(0), (q * (ey**2 + vy)).sum(0), (q * (ex * ey + vxy)).sum(0)], 1)
         sums = np.r_[total.ravel(), likelihood, count]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums)], names=["i", "v"])
 
@@ -179,13 +217,12 @@ def _expect(m: Mixture, turns: int):
 def _weigh(m: Mixture, turns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop, own, c, a, b in _unpack(batch, m.a, m.b):
-                n = c["n"].astype(float)
-                w, _ = _detector_weights(m, own, stop - start, n, m.log_density(c["hour"], c["weekend"], c["x"], c["y"]), turns)
+            for start, stop, sizes, c, a, b in _unpack(batch, m.a, m.b):
+                w, _ = _detector_weights(m, _Cells.of(m, c["hour"], c["weekend"], c["x"], c["y"]), sizes, c["n"], turns)
                 piece = batch.slice(start, stop - start)
-                total = np.bincount(own, n, stop - start).astype(np.int64)
+                total = np.add.reduceat(c["n"], np.cumsum(sizes) - sizes).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(total), pa.array(a), pa.array(b), pa.ListArray.from_arrays(np.arange(stop - start + 1, dtype=np.int32) * w.shape[1], pa.array(w.ravel()))],
+                    [piece.column(0), piece.column(1), pa.array(total), pa.array(a), pa.array(b), pa.ListArray.from_arrays(np.arange(stop - start + 1, dtype=np.int32) * w.shape[0], pa.array(w.T.ravel()))],
                     names=["city", "detid", "n", "a", "b", "w"],
                 )
 
@@ -327,14 +364,15 @@ def _modes(m: Mixture):
                     continue
                 c = _scores(m, dets["a"].to_numpy(float), dets["b"].to_numpy(float), px, py)
                 c[0] += prior.ravel()
+                c = np.ascontiguousarray(c.reshape(6, -1, k).transpose(2, 0, 1))  # by class, so that all work runs along the detectors
                 for at in range(0, rows.size, most):
                     r = rows[at : at + most]
                     u, v = np.where(px, x[r], 0.0), np.where(py, y[r], 0.0)
-                    logs = (np.stack([np.ones(r.size), u, v, u * u, u * v, v * v], 1) @ c).reshape(r.size, -1, k)
-                    logs += calendar[r][:, None, :]
-                    top = logs.max(2)
-                    logs -= top[:, :, None]
-                    own = top + np.log(np.exp(logs, out=logs).sum(2)) + habits["align"].T[align[r]] + habits["part"].T[part[r]]
+                    logs = np.stack([np.ones(r.size), u, v, u * u, u * v, v * v], 1) @ c
+                    logs += calendar[r].T[:, :, None]
+                    top = logs.max(0)
+                    logs -= top
+                    own = top + np.log(np.exp(logs, out=logs).sum(0)) + habits["align"].T[align[r]] + habits["part"].T[part[r]]
                     j = own.argmax(1)
                     best[r], score[r] = names[j], own[np.arange(r.size), j]
         out["guess"], out["score"] = best, score
@@ -414,7 +452,8 @@ def filled(raw: DataFrame, classes: int = 12, steps: int = 60) -> DataFrame:
 def unusable(rows: DataFrame) -> DataFrame:
     """(obs_id, field) of each cell that had no usable value, filled or not."""
     cells = F.concat(F.array_compact(F.array(*(F.when(F.col(f"{c}_filled"), F.lit(c)) for c in FIELDS))), F.col("unfilled"))
-    return rows.select("obs_id", F.explode(cells).alias("field"))
+    some = F.col("flow_filled") | F.col("occ_filled") | F.col("detid_filled") | (F.size("unfilled") > 0)
+    return rows.select("obs_id", F.explode(F.when(some, cells)).alias("field"))  # no arrays are built for complete rows
 
 
 def held_out(raw: DataFrame, every: int = 25, classes: int = 12, steps: int = 60) -> DataFrame:
